@@ -126,7 +126,7 @@ def crossing(members: DataFrame, classes: DataFrame, loose: float) -> DataFrame:
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
     dealt = own.withColumn("cell", cell)
 
-    def run(key, b: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         ids, roots, block = b["class"].to_numpy(), b["root"].to_numpy(), b["block"].to_numpy()
         regs = np.frombuffer(b"".join(b["registers"]), np.uint16).reshape(-1, S.REGISTERS)
         n, i, j = b["n"].to_numpy(float), key[1], key[2]
