@@ -22,45 +22,48 @@ from strandlog.llm.shared import BROADCAST_ROWS, written
 
 WORDS = 8
 COVERAGE = 60
-#: Placeholders of the template: digits are free once all numbers are gone.
-NUMBER, UNIT, NAME = "0", "1", "2"
+#: Placeholders of the template; they are taken out of texts first.
+NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|sec|min|h|hr|hrs|hours|minutes|seconds|days|weeks|months|years|percent|usd|eur|dollars|euros|cents|mph|kmh|miles|meters|metres|grams|liters|litres"
-#: (pattern, replacement) in order; slots are put between marks that stand in no text.
+#: (pattern, replacement in a template, replacement that marks the slot's value), in order.
 RULES = (
-    (r"[\x{1}-\x{3}]", " "),
-    (r"([\p{Ll},;] )(\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+)*)", "$1\u0001$2\u0003"),
-    (rf"(\p{{Nd}}[\p{{Nd}}.,]*)( ?)((?i:{UNITS})\b|%)", "\u0002$1\u0003 \u0002=$3\u0003"),
-    (r"(^|[^\p{Nd}\x{2}.,])(\p{Nd}+([.,]\p{Nd}+)*)", "$1\u0002$2\u0003"),
+    (r"([\p{Ll},;] )(\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+)*)", f"$1 {NAME} ", "$1\u0001$2\u0003"),
+    (rf"(\p{{Nd}}[\p{{Nd}}.,]*)( ?)((?i:{UNITS})\b|%)", f" {NUMBER} {UNIT} ", "\u0002$1\u0003 \u0002=$3\u0003"),
+    (r"(^|[^\p{Nd}\x{2}.,])(\p{Nd}+([.,]\p{Nd}+)*)", f"$1 {NUMBER} ", "$1\u0002$2\u0003"),
 )
 
 
-def marked(text):
-    """Column: the text with each slot value between marks; \\1 opens a name, \\2 a number or (with =) a unit, \\3 ends."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern, by in RULES:
-        out = F.regexp_replace(out, pattern, by)
-    return out
+def _plain(text):
+    return F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
 
 
 def template(text):
     """Column: array of template words."""
-    out = F.regexp_replace(marked(text), "\u0001[^\u0003]*\u0003", f" {NAME} ")
-    out = F.regexp_replace(out, "\u0002=[^\u0003]*\u0003", f" {UNIT} ")
-    out = F.regexp_replace(out, "\u0002[^\u0003]*\u0003", f" {NUMBER} ")
-    return F.filter(F.split(F.lower(out), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
+    out = _plain(text)
+    for pattern, by, _ in RULES:
+        out = F.regexp_replace(out, pattern, by)
+    return F.array_remove(F.split(F.lower(out), r"[^\p{L}\p{M}\p{N}\x{1}-\x{3}]+"), "")
 
 
 def slots(text):
-    """Column: for each template word its value; null for a literal word."""
-    out = F.regexp_replace(marked(text), "[\u0001\u0002]([^\u0003]*)\u0003", " \u0001$1\u0003 ")
+    """Column: for each template word its value; null for a literal word. Names, numbers and units (with =) stand in marks."""
+    out = _plain(text)
+    for pattern, _, mark in RULES:
+        out = F.regexp_replace(out, pattern, mark)
+    out = F.regexp_replace(out, "[\u0001\u0002]([^\u0003]*)\u0003", " \u0001$1\u0003 ")
     words = F.regexp_extract_all(out, F.lit("\u0001[^\u0003]*\u0003|[\\p{L}\\p{M}\\p{N}]+"), F.lit(0))
     return F.transform(words, lambda x: F.when(x.startswith("\u0001"), F.lower(x)))
 
 
+def let(value, body):
+    """Column: body of value, which is evaluated once and not at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows(words, n):
     """Column: array of the hashes of all windows of n words (n a column); a shorter text gives none."""
     hashes = F.transform(words, lambda x: F.xxhash64(x))
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(hashes, i, n))))
+    return let(hashes, lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n)))))
 
 
 def benchmark_windows(items: DataFrame, n: int = WORDS) -> DataFrame:
