@@ -6,11 +6,12 @@
    member meets the bucket's first one. Pairs whose likeliest similarity is below LOOSE go.
 3. Each class first verifies its best partner only, on full sets. That joins nearly all copies.
 4. What can still change components is verified next: the other pairs between different components, and, in
-   large buckets that hold several components, the pairs between these, met block by block.
-   Pairs inside a component need no check, so a group of n copies costs n checks, not its square.
+   large buckets that hold several components, the pairs between these. There, blocks of members meet with their
+   sets; each pair is looked at in the first bucket that it shares, and a block hands on no more links than join
+   its components. Pairs inside a component need no check.
 
 A link at similarity 0.8 shares none of 40 bands with probability (1 - 0.8^5)^40, about 1 in 10^7, and is estimated
-below LOOSE with about 1 in 10^8. Links themselves are exact up to 64-bit hashes of shingles.
+below LOOSE with about 1 in 10^5. Links themselves are exact up to 64-bit hashes of shingles.
 
 Defined cases: a text without words, or null, links with nothing; fewer words than a shingle make the whole
 sequence one shingle; rows of one id are one vertex, each with its own set; a null id takes no part, its component
@@ -33,7 +34,7 @@ from strandlog.llm.shared import checked_broadcast, forget, written
 
 ROWS = 5  # registers of a band
 BANDS = S.REGISTERS // ROWS
-LOOSE = 0.62
+LOOSE = 0.66
 PERCENT = 80
 SMALL = 24
 BLOCK = 512
@@ -115,31 +116,57 @@ def estimated(pairs: DataFrame, classes: DataFrame, loose: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").mapInPandas(run, "a long, b long, u long, v long, du binary, dv binary, j double")
 
 
-def crossing(members: DataFrame, classes: DataFrame, loose: float) -> DataFrame:
-    """Pairs between components inside large buckets: blocks of members meet, and only likely pairs come out.
+def crossing(members: DataFrame, classes: DataFrame, small_sets: DataFrame, loose: float, percent: int) -> DataFrame:
+    """Links (u, v, du, dv) between components inside large buckets, enough of them to join what is linked.
 
-    members: (key, class, root, size) of buckets that hold several components.
+    members: (key, class, root, size) of buckets that hold several components; small_sets: (class, words), the sets'
+    hashes cut to 32 bits, which only can make a pair look more alike.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.join(classes.select("class", "n", "registers"), "class").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # a member goes to the cell of its block with every other: (i, j) with i <= j
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    dealt = own.withColumn("cell", cell)
+    dealt = own.withColumn("cell", cell).join(classes.select("class", "n", "registers"), "class").join(small_sets, "class")
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        ids, roots, block = b["class"].to_numpy(), b["root"].to_numpy(), b["block"].to_numpy()
+        ids, block, n = b["class"].to_numpy(), b["block"].to_numpy(), b["n"].to_numpy(float)
+        roots = np.unique(b["root"].to_numpy(), return_inverse=True)[1]
         regs = np.frombuffer(b"".join(b["registers"]), np.uint16).reshape(-1, S.REGISTERS)
-        n, i, j = b["n"].to_numpy(float), key[1], key[2]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        words = [np.frombuffer(x, np.uint32) for x in b["words"]]
+        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        band = int(b["band"].iloc[0])
         out = []
         for x in left:
-            y = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) if i == j else True)]
+            y = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) if key[1] == key[2] else True)]
+            y = y[np.minimum(n[y], n[x]) * 100 >= percent * np.maximum(n[y], n[x])]
+            if not len(y):
+                continue
+            # only in the first band that both share
+            y = y[(regs[y] == regs[x]).reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band]
             y = y[likely_rows(regs, n, x, y, loose)]
-            out += [(min(ids[x], ids[z]), max(ids[x], ids[z])) for z in y]
-        return pd.DataFrame(out, columns=["a", "b"])
+            for z in y:
+                if roots[z] == roots[x]:
+                    continue
+                both = len(np.intersect1d(words[x], words[z], assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[z] - both):
+                    out.append((x, z))
+                    roots[roots == roots[z]] = roots[x]
+        at, to = (np.array([p[i] for p in out], int) for i in (0, 1))
+        pick = lambda c, k: b[c].to_numpy()[k]
+        return pd.DataFrame({"u": pick("id", at), "v": pick("id", to), "du": pick("digest", at), "dv": pick("digest", to)})
+
+    flat = dealt.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "class", "root", "block", "band", "n", "registers", "words", "id", "digest")
+    return flat.groupBy("key", "i", "j").applyInPandas(run, "u long, v long, du binary, dv binary").distinct()
+
+
+def cut_sets(full: DataFrame) -> DataFrame:
+    """(digest, words): distinct 32-bit hashes of the sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"digest": b["digest"], "words": [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in b["hashes"]]})
 
-    flat = dealt.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "class", "root", "block", "n", "registers")
-    return flat.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return full.select("digest", "hashes").mapInPandas(run, "digest binary, words binary").dropDuplicates(["digest"])
 
 
 def likely_rows(regs: np.ndarray, n: np.ndarray, x: int, y: np.ndarray, loose: float) -> np.ndarray:
@@ -155,10 +182,10 @@ def near_duplicates(docs: DataFrame, k: int = S.K, percent: int = PERCENT, loose
     grouped = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = written(grouped.select(F.xxhash64("digest").alias("class"), "id", "digest", "n", "registers"), "classes")
 
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS))))
-    bands = classes.select("class", F.struct("n", "class").alias("order"), keys.alias("key"))
+    keys = F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS))))
+    bands = classes.select("class", F.struct("n", "class").alias("order"), keys.alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("order").alias("first")).where("size > 1")
-    members = written(bands.join(buckets, "key").select("key", "class", "size", F.col("first.class").alias("first")), "members")
+    members = written(bands.join(buckets, "key").select("key", "band", "class", "size", F.col("first.class").alias("first")), "members")
     small = members.where(F.col("size") <= SMALL).select("key", "class")
     pairs = small.withColumnRenamed("class", "a").join(small.withColumnRenamed("class", "b"), "key").where("a < b").select("a", "b")
     star = members.where((F.col("size") > SMALL) & (F.col("class") != F.col("first"))).select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b"))
@@ -178,10 +205,14 @@ def near_duplicates(docs: DataFrame, k: int = S.K, percent: int = PERCENT, loose
     open_pairs = rooted(rooted(likely, "u", "ru"), "v", "rv").where("ru != rv").select("a", "b", "u", "v", "du", "dv", "j")
     tested = best.select("a", "b")
     rest = open_pairs.join(tested, ["a", "b"], "left_anti")
-    large = rooted(members.where(F.col("size") > SMALL).select("key", "class", "size").join(classes.select("class", "id"), "class"), "id", "root")
-    mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    met = crossing(large.join(mixed, "key", "left_semi").select("key", "class", "root", "size"), classes, loose).join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    rest = written(rest.select("u", "v", "du", "dv").union(estimated(met, classes, loose).select("u", "v", "du", "dv")), "rest")
+    rest = written(rest.select("u", "v", "du", "dv"), "rest")
+    large = rooted(members.where(F.col("size") > SMALL).select("key", "band", "class", "size").join(classes.select("class", "id", "digest"), "class"), "id", "root")
+    several = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    open_members = written(large.join(several, "key", "left_semi"), "open")
+    if not open_members.isEmpty():
+        ids_left = open_members.select("class", "id", "digest").distinct()
+        small_sets = written(cut_sets(sets(docs, ids_left, k)).join(ids_left.select("class", "digest"), "digest").select("class", "words"), "cut-sets")
+        rest = written(rest.union(crossing(open_members, classes, small_sets, loose, percent)).distinct(), "rest")
     if not rest.isEmpty():
         more = verified(rest, docs, k, percent)
         joined = more.select(*(F.col(c) for c in ("u", "v"))).union(roots.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")))
