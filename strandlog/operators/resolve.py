@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlog import model as M
-from strandlog.functions.ids import relation_entity_id
+from strandlog.functions.ids import LANGUAGE_PREFIX, relation_entity_id, uuid8
 
 ENTITY, RELATION, VALUE_REF = "E", "R", "V"
 KEY = ["space", "id"]
@@ -81,12 +81,15 @@ def lookup(objects: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(objects.select(*KEY, "kind", "status"), KEY, "left").withColumn("status", F.coalesce("status", F.lit("NOT_FOUND")))
 
 
-def slot_events(taken: DataFrame) -> DataFrame:
-    """One row per set or unset of a slot: (space, id, property, language, ord, seq, idx, mode, value); unsets come first in an op."""
+def slot_events(taken: DataFrame, fold_english: bool = True) -> DataFrame:
+    """One row per set or unset of a slot: (space, id, property, language, ord, seq, idx, mode, value); unsets come first
+    in an op. No language means English, so English given explicitly is folded into it, unless told otherwise."""
     edits = taken.where(F.col("op_type").isin(M.CREATE_ENTITY, M.UPDATE_ENTITY))
     sets = edits.select(*KEY, "ord", F.posexplode("set").alias("idx", "x")).select(*KEY, F.col("x.property").alias("property"), F.col("x.value.language").alias("language"), "ord", F.lit(1).alias("seq"), "idx", F.lit(None).cast("tinyint").alias("mode"), F.col("x.value").alias("value"))
     unsets = edits.select(*KEY, "ord", F.posexplode("unset").alias("idx", "x")).select(*KEY, F.col("x.property").alias("property"), F.when(F.col("x.mode") == M.UNSET_LANGUAGE, F.col("x.language")).alias("language"), "ord", F.lit(0).alias("seq"), "idx", F.col("x.mode").cast("tinyint").alias("mode"))
-    return sets.unionByName(unsets.withColumn("value", F.lit(None).cast(sets.schema["value"].dataType)))
+    both = sets.unionByName(unsets.withColumn("value", F.lit(None).cast(sets.schema["value"].dataType)))
+    english = F.lit(uuid8((LANGUAGE_PREFIX + "en").encode()))
+    return both.withColumn("language", F.when(F.col("language") != english, F.col("language"))) if fold_english else both
 
 
 def values(events: DataFrame) -> DataFrame:
