@@ -1 +1 @@
-"""."""
+"""Column expressions for ids, times and values."""

@@ -73,13 +73,13 @@ def value_error(v):
     t, bad = v["data_type"], F.lit("E005")
     return (
         F.when((t == 3) & F.isnan(v["f64"]), bad)
-        .when((t == 4) & v["dec.mantissa_i64"].isNotNull() & ~decimal_normal(v["dec.exponent"], v["dec.mantissa_i64"]), bad)
-        .when((t == 7) & ~v["date.offset_min"].between(-1440, 1440), bad)
-        .when((t == 8) & ~(v["time.offset_min"].between(-1440, 1440) & v["time.time_us"].between(0, 86_399_999_999)), bad)
-        .when((t == 9) & ~v["datetime.offset_min"].between(-1440, 1440), bad)
-        .when((t == 11) & ~point_valid(v["point.lat"], v["point.lon"]), bad)
-        .when((t == 12) & ~(point_valid(v["rect.min_lat"], v["rect.min_lon"]) & point_valid(v["rect.max_lat"], v["rect.max_lon"]) & (v["rect.min_lat"] <= v["rect.max_lat"])), bad)
-        .when((t == 13) & (F.octet_length(v["embedding.data"]) != bytes_for_dims(v["embedding.sub_type"], v["embedding.dims"])), bad)
+        .when((t == 4) & v["dec"]["mantissa_i64"].isNotNull() & ~decimal_normal(v["dec"]["exponent"], v["dec"]["mantissa_i64"]), bad)
+        .when((t == 7) & ~v["date"]["offset_min"].between(-1440, 1440), bad)
+        .when((t == 8) & ~(v["time"]["offset_min"].between(-1440, 1440) & v["time"]["time_us"].between(0, 86_399_999_999)), bad)
+        .when((t == 9) & ~v["datetime"]["offset_min"].between(-1440, 1440), bad)
+        .when((t == 11) & ~point_valid(v["point"]["lat"], v["point"]["lon"]), bad)
+        .when((t == 12) & ~(point_valid(v["rect"]["min_lat"], v["rect"]["min_lon"]) & point_valid(v["rect"]["max_lat"], v["rect"]["max_lon"]) & (v["rect"]["min_lat"] <= v["rect"]["max_lat"])), bad)
+        .when((t == 13) & (F.octet_length(v["embedding"]["data"]) != bytes_for_dims(v["embedding"]["sub_type"], v["embedding"]["dims"])), bad)
     )
 
 

@@ -1 +1 @@
-"""."""
+"""Resolver, questions to state, and checks, all on DataFrames."""

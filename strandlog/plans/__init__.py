@@ -1 +1 @@
-"""."""
+"""Logs made from the driver tables."""

@@ -548,3 +548,80 @@ def language_ids(spark, d):
 def dict_intern(spark, d):
     x = L.read(spark, d, "orders").select((F.col("o_custkey") % 50).alias("edit"), L.named("status:", F.col("o_orderpriority")).alias("id")).distinct()
     return hexed(x.withColumn("idx", (F.dense_rank().over(Window.partitionBy("edit").orderBy("id")) - 1).cast("long")), "id")
+
+
+# ---- the interchange format: encoded and decoded again, so the result equals its source ------------------------
+
+
+def _customer_edits(spark, d, compress=False):
+    """Edits of up to a thousand customers each, encoded from columns."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    from strandlog import model as M
+    from strandlog.sources import edits
+
+    c = L.read(spark, d, "customer")
+    schema = _parse_datatype_string(M.OP)
+    value_type = schema["set"].dataType.elementType["value"].dataType
+
+    def value(**given):
+        return F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in value_type.fields))
+
+    sets = F.array(
+        F.struct(F.unhex(F.lit(I.NAME)).alias("property"), value(data_type=F.lit(M.TEXT), text=F.col("c_name")).alias("value")),
+        F.struct(L.named("property:balance").alias("property"), value(data_type=F.lit(M.FLOAT64), f64=F.col("c_acctbal"), unit=L.named("unit:dollar")).alias("value")),
+    )
+    k = F.col("c_custkey")
+    given = {"op_index": k % 1000, "op_type": F.lit(M.CREATE_ENTITY), "id": L.named("customer:", k), "set": sets}
+    ops = c.select(L.named("edit:", F.floor(k / 1000)).alias("edit_id"), *(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
+    heads = ops.groupBy("edit_id").agg(F.count("*").cast("int").alias("n_ops")).select("edit_id", F.lit("customers").alias("name"), F.array().cast("array<binary>").alias("authors"), F.lit(0).cast("long").alias("created_at"), "n_ops")
+    return edits.encode_edits(edits.gather(ops, heads), compress=compress)
+
+
+_CUSTOMERS = f"SELECT {sid("'edit:'||(c_custkey//1000)")} AS edit_id, {sid("'customer:'||c_custkey")} AS id, c_name AS name, c_acctbal AS balance FROM customer"
+
+
+def _decoded(blobs):
+    from strandlog.sources import edits
+
+    ops = edits.decode_ops(blobs.select(F.lit("").alias("path"), "content"))
+    value = lambda p: F.filter("set", lambda x: x["property"] == p)[0]["value"]
+    return hexed(ops.select("edit_id", "id", value(F.unhex(F.lit(I.NAME)))["text"].alias("name"), value(L.named("property:balance"))["f64"].alias("balance")), "edit_id", "id")
+
+
+@query(_CUSTOMERS)
+def wire_roundtrip(spark, d):
+    return _decoded(_customer_edits(spark, d))
+
+
+@query(_CUSTOMERS)
+def zstd_roundtrip(spark, d):
+    return _decoded(_customer_edits(spark, d, compress=True))
+
+
+@query()
+def canonical_hash(spark, d):
+    from strandlog.sources.edits import content_hash
+
+    return hexed(_customer_edits(spark, d).select("edit_id", F.octet_length("content").alias("n_bytes"), content_hash(F.col("content")).alias("hash")), "edit_id")
+
+
+@query()
+def midpoint_positions(spark, d):
+    between = F.udf(X.midpoint, "string")  # two short strings a row; there is no column form
+    x = L.read(spark, d, "nation").select("n_nationkey", F.concat(F.lit("a"), (F.col("n_nationkey") + 10).cast("string")).alias("low"))
+    return x.withColumn("position", between("low", F.lit("zzzz")))
+
+
+@query("SELECT event_id, event_id%3<>0 AS valid FROM events")
+def schedule_valid(spark, d):
+    n = F.col("event_id")
+    rule = F.when(n % 3 == 0, "BYDAY=MO").when(n % 3 == 1, "FREQ=WEEKLY;BYDAY=MO,FR").otherwise("RRULE:FREQ=DAILY;COUNT=9")
+    return L.read(spark, d, "events").select("event_id", X.schedule_valid(rule).alias("valid"))
+
+
+@query("SELECT c_custkey, list_transform(range(8), lambda i: (c_custkey//(1<<i))%2)::VARCHAR AS bits FROM customer")
+def embedding_unpack(spark, d):
+    data = F.unhex(F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"))
+    bits = X.embedding_unpack(F.lit(2), F.lit(8), data)
+    return L.read(spark, d, "customer").select("c_custkey", F.concat(F.lit("["), F.concat_ws(", ", F.transform(bits, lambda b: b.cast("int").cast("string"))), F.lit("]")).alias("bits"))

@@ -1 +1 @@
-"""."""
+"""The interchange format and its DataFrame readers and writers."""

@@ -1 +1 @@
-"""."""
+"""State kept from a stream of ops."""
