@@ -3,7 +3,7 @@
 A text is cut at single spaces between characters that aren't white space. For the tokenizers used here such a cut
 never falls inside a pre-token, so the ids of the parts, one after the other, are the ids of the whole text. Parts
 met before come from the cache. The others are cut once more, by the tokenizer's own pre-token pattern, and what
-isn't cached then is encoded in one batch. Texts with other spacing next to a cut keep the parts around it together,
+isn't cached then is encoded, by the library's model alone where a piece is a plain word. Texts with other spacing next to a cut keep the parts around it together,
 and parts that normalisation could change beyond their case are encoded whole. tests/llm/test_bpe.py holds both
 tokenizers against whole-text encoding.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -25,6 +26,13 @@ CACHE_CHARS = 40
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet by its rule: printable Latin-1 stands for itself, other bytes count on from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
 class Cache:
     """A dict of two generations, so that frequent pieces stay."""
 
@@ -56,6 +64,7 @@ class CachedTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype, self.cache, self.pieces = np.dtype(dtype), Cache(), Cache()
+        self.letters, self.code = byte_letters(), {2: "H", 4: "I"}[self.dtype.itemsize]
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made["pre_tokenizer"]
@@ -90,13 +99,25 @@ class CachedTokenizer:
         return self.pattern.findall(part)
 
     def ids(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i : i + 4096]
+        """Ids of pieces: single pre-tokens go to the tokenizer's model in its byte letters, others through all of it."""
+        out, rest, model, letters, code = {}, [], self.tok.model.tokenize, self.letters, self.code
+        for p in pieces:
+            if self.single(p):
+                out[p] = array(code, [t.id for t in model(p.encode("utf-8").decode("latin-1").translate(letters))]).tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
             for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                out[p] = np.array(e.ids, self.dtype).tobytes()
+                out[p] = array(code, e.ids).tobytes()
         return out
 
+    def single(self, piece: str) -> bool:
+        """Whether a piece is one pre-token that normalisation leaves as it is."""
+        if self.lower:
+            return piece.isascii() and piece.isalpha() and piece.islower()
+        return len(piece) == 1 or piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype."""
         cut = [self.parts(t) for t in texts]
