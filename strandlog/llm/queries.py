@@ -99,4 +99,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_virtual_slots, op4_decontaminate, op5_license_scan, op6_quality_rules, op7_cross_entropy, op8_near_duplicates, op9_best_fit, op10_binary_records, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+
+_TAILS = r"INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE\]|/ROLE\]|TURN\]|/TURN\]"
+_ESCAPED = rf"length(regexp_replace(%s, '([\[<])(\\*)({_TAILS})', '\1\2\\\3', 'g'))"
+_ORDER = "ORDER BY turn, role, text"
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' {_ORDER})) AS turns_sha256,
+      coalesce(sum(CASE WHEN role='assistant' THEN length(text) END),0)::BIGINT AS loss_chars,
+      sha256(string_agg(CASE WHEN role='assistant' THEN text ELSE '' END, '' {_ORDER})) AS loss_sha256,
+      sum({_ESCAPED % 'text'} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 31 + {_ESCAPED % 'role'} END)::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id""",
+    "op8_near_duplicates": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, CASE WHEN len(w)=0 THEN [] WHEN len(w)<4 THEN [array_to_string(w,' ')] ELSE list_distinct(list_transform(range(1,len(w)-2), lambda i: array_to_string(w[i:i+3],' '))) END AS g FROM w),
+    s AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+    l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x=b.x AND a.doc_id<>b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100*count(*) >= 80*(a.n+b.n-count(*))),
+    r(a,b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b=l.a)
+    SELECT g.doc_id, len(g.g) AS n_shingles, m.c AS component_id, g.doc_id=m.c AS kept FROM g JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a=g.doc_id""",
+}
