@@ -71,6 +71,8 @@ class CachedTokenizer:
         split = next((x for x in pre.get("pretokenizers", []) if x["type"] == "Split"), None)
         self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL)
         self.lower = "Lowercase" in json.dumps(made["normalizer"])
+        if self.lower:  # words in both cases stand beside each other here, and their ids take more room
+            self.cache, self.pieces = Cache(CACHE_ENTRIES * 7 // 10), Cache(CACHE_ENTRIES * 7 // 10)
 
     def parts(self, text: str) -> list[str]:
         """Parts whose ids can be put together: all but the first start with their space."""
