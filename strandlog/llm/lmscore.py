@@ -32,6 +32,8 @@ BITS = 20
 MU = 50.0
 #: Words a task holds before it hands its counts on.
 HELD = 400_000
+#: Counts that travel as one array.
+BLOCK = 4096
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -116,11 +118,23 @@ class Model:
         return -np.log(np.minimum(p, 1.0))
 
 
+def packed(counts: DataFrame) -> DataFrame:
+    """(block, n): counts as arrays of BLOCK 64-bit numbers, so that few and small rows reach the driver."""
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(BLOCK, "<i8")
+        out[b["place"].to_numpy() % BLOCK] = b["n"].to_numpy()
+        return pd.DataFrame({"block": [key[0]], "n": [out.tobytes()]})
+
+    return counts.withColumn("block", F.floor(F.col("place") / BLOCK)).groupBy("block").applyInPandas(run, "block long, n binary")
+
+
 def fitted(docs: DataFrame, ids, size: int, bits: int) -> Model:
-    counts = np.zeros(size + 1 + (1 << bits), np.int64)
-    got = model_counts(docs, ids, size, bits).toPandas()  # bounded: at most VOCABULARY + 2^BITS sums
-    counts[got["place"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return Model(counts, size, bits)
+    length = size + 1 + (1 << bits)
+    counts = np.zeros(-(-length // BLOCK) * BLOCK, np.int64)
+    for r in packed(model_counts(docs, ids, size, bits)).toLocalIterator():  # bounded: VOCABULARY + 2^BITS numbers
+        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], "<i8")
+    return Model(counts[:length], size, bits)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, most: int = VOCABULARY, bits: int = BITS) -> DataFrame:
