@@ -33,9 +33,8 @@ def _bytes(c):
 def derived_uuid(data):
     """Version 8 ID of a column's bytes: SHA-256 with the version and variant bits set, all in the JVM."""
     h = F.sha2(_bytes(data), 256)
-    variant = F.substring(F.lit("89ab"), 1, 4)
-    nibble = F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4
-    return F.unhex(F.concat(F.substring(h, 1, 12), F.lit("8"), F.substring(h, 14, 3), F.substr(variant, nibble + 1, F.lit(1)), F.substring(h, 18, 15)))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.unhex(F.concat(F.substring(h, 1, 12), F.lit("8"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15)))
 
 
 def relation_entity_id(relation_id):
