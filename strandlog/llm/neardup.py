@@ -126,7 +126,9 @@ def crossing(members: DataFrame, classes: DataFrame, small_sets: DataFrame, loos
     own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # a member goes to the cell of its block with every other: (i, j) with i <= j
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    dealt = own.withColumn("cell", cell).join(classes.select("class", "n", "registers"), "class").join(small_sets, "class")
+    # sizes, registers and sets come to a member once, before it is copied into its cells
+    profiles = classes.select("class", "n", "registers").join(small_sets, "class")
+    dealt = own.join(profiles, "class").withColumn("cell", cell)
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         ids, block, n = b["class"].to_numpy(), b["block"].to_numpy(), b["n"].to_numpy(float)
