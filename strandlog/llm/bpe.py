@@ -22,6 +22,8 @@ import regex
 CACHE_ENTRIES = 250_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 40
+#: Texts are cut in groups of about this many characters, however long a batch is; the last text of a group is whole.
+GROUP_CHARS = 2_000_000
 #: The public byte-level pre-token pattern (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -122,6 +124,19 @@ class CachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype."""
+        out, some, held = [], [], 0
+        for t in texts:
+            some.append(t)
+            held += len(t)
+            if held >= GROUP_CHARS:
+                out += self.group(some)
+                some, held = [], 0
+        return out + self.group(some)
+
+    def group(self, texts: list[str]) -> list[bytes]:
+        """encode() for texts whose parts are held at the same time."""
+        if not texts:
+            return []
         cut = [self.parts(t) for t in texts]
         new = {p: self.words(p) for p in self.cache.missing(set().union(*cut))}
         made = self.ids(self.pieces.missing(set().union(*new.values())))
