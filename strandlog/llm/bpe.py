@@ -18,6 +18,8 @@ from array import array
 import numpy as np
 import regex
 
+from strandlog.llm.shared import kept
+
 #: Entries of a generation; a cache has two, the older one goes when the younger is full. Bounds a worker's memory.
 CACHE_ENTRIES = 250_000
 #: Longer pieces are encoded but not kept.
@@ -150,11 +152,6 @@ class CachedTokenizer:
         return [b"".join(map(self.cache.young.__getitem__, ps)) for ps in cut]
 
 
-_made: dict[tuple[str, str], CachedTokenizer] = {}
-
-
 def tokenizer(path: str, dtype: str = "<u4") -> CachedTokenizer:
     """One for each worker process; it stays from task to task."""
-    if (path, dtype) not in _made:
-        _made[path, dtype] = CachedTokenizer(path, dtype)
-    return _made[path, dtype]
+    return kept(("tokenizer", path, dtype), lambda: CachedTokenizer(path, dtype))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandlog.llm import setsketch as S
 from strandlog.llm.components import components
-from strandlog.llm.shared import checked_broadcast, forget, written
+from strandlog.llm.shared import checked_broadcast, forget, kept, written
 
 ROWS = 5  # registers of a band
 BANDS = S.REGISTERS // ROWS
@@ -38,11 +38,10 @@ LOOSE = 0.66
 PERCENT = 80
 SMALL = 24
 BLOCK = 512
-_shinglers: dict[int, S.Shingler] = {}
 
 
 def shingler(k: int) -> S.Shingler:
-    return _shinglers.setdefault(k, S.Shingler(k))
+    return kept(("shingles", k), lambda: S.Shingler(k))
 
 
 def sketches(docs: DataFrame, k: int = S.K) -> DataFrame:
