@@ -1,13 +1,18 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score each document.
 
-Words (letters and digits, lower case) are counted over the whole corpus; the vocabulary is every word above a
-count that leaves at most VOCABULARY of them, all others are one unknown word. Bigrams are counted in 2^BITS hashed
-bins, so that both models have a fixed size whatever the corpus; unigrams are exact. Both models smooth alike:
+Words (letters and digits, lower case) are counted over the whole corpus; every word is in the vocabulary, and bigrams
+are counted by their two words, so that both models grow with the corpus. Both models smooth alike:
 
     p(w | h) = (c(h, w) + MU * p(w)) / (c(h) + MU),    p(w) = (c(w) + 1) / (all words + size of vocabulary)
 
 The background is all documents, the target is all documents labelled good. A token's loss is -ln p; the score is
 the mean over a document's tokens of target loss less background loss: the lower, the more like the target.
+Counts and losses are written tables, keyed by "history word" (a text's first word has an empty history); documents
+meet them in a shuffle join.
+
+Models of a fixed size, for callers that ask for one: with `most` only words above a count that leaves at most so many
+are known, all others are one unknown word; with `bits` bigrams are counted in 2^bits hashed bins. One given, the other
+is VOCABULARY or BITS.
 
 Defined cases: a null text or one without words has 0 tokens and null losses; without target documents the target
 model is the uniform one; labels that are null or of unknown ids don't count; rows of one id are scored one by one.
@@ -22,15 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.shared import checked_broadcast, forget, written
 
+#: Of models of a fixed size.
 VOCABULARY = 50_000
 BITS = 20
 MU = 50.0
-#: Words a task holds before it hands its counts on.
+#: Words or bigrams a task holds before it hands its counts on.
 HELD = 400_000
 #: Counts that travel as one array.
 BLOCK = 4096
@@ -137,14 +145,111 @@ def fitted(docs: DataFrame, ids, size: int, bits: int) -> Model:
     return Model(counts[:length], size, bits)
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, most: int = VOCABULARY, bits: int = BITS) -> DataFrame:
+def grams_of(text) -> Counter:
+    """Bigrams of a text and how often each stands there."""
+    words = words_of(text)
+    return Counter(map(" ".join, zip(["", *words], words)))  # one shorter by zip
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(gram, n, n_good) over docs (text, good); each task counts before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, good = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            n = pa.array(held.values(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), n, pa.array((good[g] for g in held), pa.int64())], ["gram", "n", "n_good"])
+
+        for b in batches:
+            for t, is_good in zip(b["text"].to_pylist(), b["good"].to_pylist(), strict=True):
+                grams = grams_of(t)
+                held.update(grams)
+                if is_good:
+                    good.update(grams)
+                if len(held) > HELD:
+                    yield counted()
+                    held.clear()
+                    good.clear()
+        yield counted()
+
+    return docs.mapInArrow(run, "gram string, n long, n_good long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
+
+
+def document_grams(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, gram, n) over docs (doc_id, text): row numbers the documents; one without words has a null gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for b in batches:
+            rows, ids, grams, ns = [], [], [], []
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(grams, pa.string()), pa.array(ns, pa.int64())], ["row", "doc_id", "gram", "n"])
+
+            for k, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                found = grams_of(t) or {None: 0}
+                rows += [row] * len(found)
+                ids += [k] * len(found)
+                grams += found.keys()
+                ns += found.values()
+                row += 1
+                if len(rows) > HELD:
+                    yield made()
+                    rows, ids, grams, ns = [], [], [], []
+            yield made()
+
+    return docs.mapInArrow(run, "row long, doc_id long, gram string, n long")
+
+
+def gram_losses(grams: DataFrame) -> DataFrame:
+    """(gram, target, background): the two losses of each counted bigram."""
+    word, history = F.substring_index("gram", " ", -1), F.substring_index("gram", " ", 1)
+    sums = [F.sum("n").alias("c"), F.sum("n_good").alias("c_good")]
+    words = written(grams.groupBy(word.alias("w")).agg(*sums), "words")
+    starts = grams.where(history == "").groupBy(F.lit("").alias("w")).agg(*sums)
+    size, total, good = words.agg(F.count(F.lit(1)), F.sum("c"), F.sum("c_good")).first()
+    as_word = words.select(F.col("w").alias("word"), ((F.col("c") + 1) / F.lit(max((total or 0) + size, 1))).alias("p"), ((F.col("c_good") + 1) / F.lit(max((good or 0) + size, 1))).alias("p_good"))
+    as_history = words.unionByName(starts).withColumnRenamed("w", "history")
+    rows = grams.withColumns({"word": word, "history": history}).join(as_word, "word").join(as_history, "history")
+
+    def loss(n: str, p: str, c: str):
+        return F.ln(F.col(c) + MU) - F.ln(F.col(n) + MU * F.col(p))
+
+    out = written(rows.select("gram", loss("n_good", "p_good", "c_good").alias("target"), loss("n", "p", "c").alias("background")), "losses")
+    forget(words)
+    return out
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, most: int | None = None, bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss (means), score."""
+    ids = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    if most is not None or bits is not None:
+        return fixed_size_difference(docs, ids, VOCABULARY if most is None else most, BITS if bits is None else bits)
+    text = F.col("text").cast("string").alias("text")
+    good = checked_broadcast(ids.withColumn("good", F.lit(True)))
+    counts = written(gram_counts(docs.select("doc_id", text).join(good, "doc_id", "left").select("text", "good")), "grams")
+    losses = gram_losses(counts)
+    forget(counts)
+    rows = document_grams(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)).join(losses, "gram", "left")
+    tokens = F.sum("n")
+
+    def mean(x):
+        return F.sum(F.col("n") * x) / F.nullif(tokens, F.lit(0))
+
+    target, background = F.col("target"), F.col("background")
+    out = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), tokens.alias("n_tokens"), mean(target).alias("target_loss"), mean(background).alias("background_loss"), mean(target - background).alias("score"))
+    return out.drop("row")
+
+
+def fixed_size_difference(docs: DataFrame, target_ids: DataFrame, most: int, bits: int) -> DataFrame:
+    """cross_entropy_difference() by models of a fixed size, which each task holds."""
     spark = docs.sparkSession
     counts = written(word_counts(docs), "words")
     words = vocabulary(counts, most)
     forget(counts)
     ids, size = spark.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)}), len(words) + 1
-    target = docs.join(checked_broadcast(target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()), "doc_id", "left_semi")
+    target = docs.join(checked_broadcast(target_ids), "doc_id", "left_semi")
     both = spark.sparkContext.broadcast((fitted(target, ids, size, bits), fitted(docs, ids, size, bits)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

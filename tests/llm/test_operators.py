@@ -458,3 +458,42 @@ def test_cross_entropy(spark, docs, corpus, empty):
             assert abs(got[i]["score"] - (a - b)) < 1e-4 and abs(got[i]["target_loss"] - a) < 1e-4
     assert got[900]["score"] is None or math.isnan(got[900]["score"])
     assert lmscore.cross_entropy_difference(empty, good).count() == 0
+
+
+def test_cross_entropy_knows_all_words_and_bigrams(spark):
+    """More words than any fixed vocabulary of 50,000: rare words keep counts of their own."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{rng.randrange(60_000) if rng.random() < 0.8 else rng.randrange(40)}" for _ in range(2000))) for i in range(80)]
+    texts += [(100, "Rare rare, twin"), (100, "rare"), (None, "w1 w2"), (101, "?"), (102, None)] + [(200 + i, f"only{i * 997 + j} only{i * 997 + j + 1}") for i in range(2) for j in range(400)]
+    good = spark.createDataFrame([(i, 1) for i in [*range(20), 100, None]], "doc_id long, quality int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = lmscore.cross_entropy_difference(docs, good).collect()
+    assert len(got) == len(texts)
+    vocabulary = {w for _, t in texts for w in lmscore.words_of(t)}
+    assert len(vocabulary) > 50_000
+
+    def model(chosen):
+        uni, hist, big = Counter(), Counter(), Counter()
+        for t in chosen:
+            w = lmscore.words_of(t)
+            uni.update(w)
+            hist.update(["", *w] if w else [])
+            big.update(zip(["", *w], w))
+        n = sum(uni.values())
+        return lambda h, w: -math.log((big[h, w] + 50 * (uni[w] + 1) / (n + len(vocabulary))) / (hist[h] + 50))
+
+    target, back = model([t for i, t in texts if i in {*range(20), 100}]), model([t for _, t in texts])
+    want = []
+    for i, t in texts:
+        w = lmscore.words_of(t)
+        a, b = ([m(*p) for p in zip(["", *w], w)] for m in (target, back))
+        want.append((i, len(w), *(sum(x) / len(w) if w else None for x in (a, b, [x - y for x, y in zip(a, b)]))))
+
+    def order(r):
+        return str(r[0]), r[1], *(round(x or 0, 6) for x in r[2:])
+
+    for x, y in zip(sorted(want, key=order), sorted(map(tuple, got), key=order), strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-9)
