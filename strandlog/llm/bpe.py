@@ -102,6 +102,8 @@ class CachedTokenizer:
                 part = part.lower()
             elif not unicodedata.is_normalized("NFC", part) or len(part.lower()) != len(part):
                 return [part]
+            else:  # by the library: str.lower() makes another letter of a last sigma
+                part = self.tok.normalizer.normalize_str(part)
         return self.pattern.findall(part)
 
     def ids(self, pieces: list[str]) -> dict[str, bytes]:

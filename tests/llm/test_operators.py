@@ -177,6 +177,15 @@ def test_cached_tokens_are_whole_text_tokens(name, corpus):
     assert got == whole == tok.encode(texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_capitals_after_apostrophes(name):
+    rng = random.Random(4)
+    texts = ["O'Dónaill", "O'Súilleabháin", "CAFÉ'S", "Ñ'Tes", "ΑΣ'Σ ΟΔΟΣ", "É'RE'Ve'LLa'M"]
+    texts += ["".join(rng.choice("aeÉñΣσß'''STDMdtsRrEeVvLl 1,") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    tok = CachedTokenizer(path(name))
+    assert tok.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def ids_of(name, text):
     from tokenizers import Tokenizer
 
