@@ -5,7 +5,9 @@ comma) turn into typed placeholders, the rest into lower-case words. Windows of
 hash-joined with those of the benchmark. Matches of a document and an item on one alignment (place in the
 document less place in the item) must fill the slots consistently: a value of the item stands for one value of
 the document throughout, so that re-parameterised questions match and chance matches of bare templates don't. An
-item counts as found if its consistent alignments cover at least COVERAGE percent of its windows.
+item counts as found if the matches of its consistent alignments cover at least COVERAGE percent of its words, so that
+a changed word costs itself and not all windows over it, or if one alignment covers RUN words in a row, at least half
+of them literal, however long the item is.
 
 Defined cases: a null or empty text has no window; an item with fewer than WORDS words is one shorter window,
 looked up among windows of its own length; repeated items or rows give repeated matches once; an empty benchmark
@@ -22,6 +24,7 @@ from strandlog.llm.shared import BROADCAST_ROWS, written
 
 WORDS = 8
 COVERAGE = 60
+RUN = 13
 #: Placeholders of the template; they are taken out of texts first.
 NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|sec|min|h|hr|hrs|hours|minutes|seconds|days|weeks|months|years|percent|usd|eur|dollars|euros|cents|mph|kmh|miles|meters|metres|grams|liters|litres"
@@ -87,6 +90,19 @@ def matches(docs: DataFrame, bench: DataFrame, n: int = WORDS) -> DataFrame:
     return out
 
 
+def longest_run_found(covered, item_values, least: int = RUN):
+    """Column: whether `least` item words in a row, at least half of them literal, are among the sorted places `covered`."""
+    start = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("words"), F.lit(0).alias("literal"), F.lit(False).alias("found"))
+
+    def step(acc, p):
+        on = p == acc["at"] + 1
+        words = F.when(on, acc["words"]).otherwise(F.lit(0)) + F.lit(1)
+        literal = F.when(on, acc["literal"]).otherwise(F.lit(0)) + F.get(item_values, p).isNull().cast("int")
+        return F.struct(p.alias("at"), words.alias("words"), literal.alias("literal"), (acc["found"] | ((words >= least) & (literal * 2 >= words))).alias("found"))
+
+    return F.aggregate(covered, start, step, lambda acc: acc["found"])
+
+
 def found_texts(docs: DataFrame, items: DataFrame, n: int = WORDS, coverage: int = COVERAGE) -> DataFrame:
     """docs: (key, text), equal texts having equal keys. One row per key and item that the text holds."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -105,12 +121,14 @@ def found_texts(docs: DataFrame, items: DataFrame, n: int = WORDS, coverage: int
     # consistent: as many different item values as different (item value, document value) pairs
     fine = F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))) == F.size("pairs")
     changed = F.size(F.filter("pairs", lambda x: x["i"] != x["d"]))
-    lines = lines.where(fine).select("key", "item_id", "total", "places", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
+    lines = lines.where(fine).select("key", "item_id", "total", "width", "places", F.array_sort(covered).alias("covered"), "item_values", F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
+    lines = lines.withColumn("long", longest_run_found(F.col("covered"), F.col("item_values")))
     found = lines.groupBy("key", "item_id").agg(
         F.max("total").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"),
         F.max("n_slots").cast("long").alias("n_slots"), F.max("n_changed").cast("long").alias("n_changed"),
+        F.max("long").alias("long"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("n_covered"), (F.max("total") + F.max("width") - 1).alias("n_words"),
     )
-    return found.where(F.col("n_matched") * 100 >= F.col("n_windows") * coverage)
+    return found.where((F.col("n_covered") * 100 >= F.col("n_words") * coverage) | F.col("long")).drop("long", "n_covered", "n_words")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -383,6 +383,23 @@ def test_contamination(spark, docs, empty):
     assert decontam.clean(docs, items.limit(0)).count() == docs.count()
 
 
+def test_parts_of_items_and_changed_words(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(9)) for _ in range(220)]
+    long, short = words[:200], words[200:]
+    table_of = ["".join(rng.choice("lmnopqrstu") for _ in range(9)) for _ in range(60)] + [str(200 + i) for i in range(16)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(table_of))], "item_id long, text string")
+    changed = [*short[:9], "other", *short[10:]]
+    cases = [
+        (1, "so " + " ".join(long[80:100]) + " here", {1}), (2, "so " + " ".join(long[80:92]) + " here", set()), (3, " ".join(changed), {2}),
+        (4, " ".join(short[:11]) + " and no more", set()), (5, " ".join(str(1000 + i) for i in range(16)), set()),
+    ]
+    d = spark.createDataFrame([(i, t) for i, t, _ in cases], "doc_id long, text string")
+    got = rows(decontam.contaminated(d, items).select("doc_id", "item_id"))
+    assert sorted(got) == sorted((i, k) for i, _, ks in cases for k in ks)
+
+
+
 # ---- op5
 
 
