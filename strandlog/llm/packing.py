@@ -17,38 +17,38 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandlog.llm.bpe import tokenizer
-from strandlog.llm.shared import written
+from strandlog.llm.shared import batch, lean, written
 
 SIZE = 2048
 END_ID = 0
-#: Pieces of one length are ranked in this many parts.
-N_PARTS = 32
-PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))])
+#: Pieces of one length are ranked in parts of about so many, however many there are.
+PART_ROWS = 1 << 20
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of at most `size` ids: its place in the document, its length and the checksum of its ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, end = tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, end = tokenizer(tokenizer_path), np.array([END_ID], "<u4")
         for b in batches:
-            rows = []
-            texts = [x if isinstance(x, str) else "" for x in b["text"]]
-            for k, ids in zip(b["doc_id"], tok.encode(texts), strict=True):
-                ids += end
-                for p, at in enumerate(range(0, len(ids), 4 * size)):
-                    own = ids[at : at + 4 * size]
-                    rows.append((k, p, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pd.DataFrame(rows, columns=PIECES.fieldNames()).astype({"doc_id": "Int64"})
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, ids in enumerate(tok.encode(b.column(1))):
+                ids = np.concatenate([ids, end])
+                for p, at in enumerate(range(0, len(ids), size)):
+                    own = ids[at : at + size]
+                    row.append(i), piece.append(p), start.append(at), length.append(len(own)), crc.append(zlib.crc32(own))
+            yield batch(_PIECES, b.column(0).take(pa.array(row, pa.int64())), piece, start, length, crc)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(cut, keeps=True), PIECES)
 
 
 def fill(free: np.ndarray, gap: int) -> tuple[int, ...]:
@@ -128,30 +128,40 @@ def runs(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, n
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32); pieces should be a written table."""
     spark = pieces.sparkSession
-    parted = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(N_PARTS)).cast("int"))
-    sums = parted.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded: size * N_PARTS counts
-    counts = np.zeros((size + 1, N_PARTS), np.int64)
-    for r in sums:
-        counts[r["length"], r["__part"]] = r["n"]
-    before = np.cumsum(counts, 1) - counts
-    placed = spark.sparkContext.broadcast((before, runs(plan(counts.sum(1), size))))  # bounded by the histogram, too
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # a piece of full length is a sequence of its own, with a negative number: it needs no rank
+    full = pieces.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = pieces.where(F.col("length") < size)
+    of_length = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # under `size` rows
+    n_parts = spark.createDataFrame([(x, -(-n // PART_ROWS)) for x, n in of_length.items()], "length long, n_parts long")
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("n_parts")).cast("int")
+    parted = rest.join(F.broadcast(n_parts), "length").select(*pieces.columns, part.alias("__part"))
+    before: dict[int, np.ndarray] = {x: np.zeros(-(-n // PART_ROWS), np.int64) for x, n in of_length.items()}
+    if max(map(len, before.values()), default=1) > 1:  # a row for each PART_ROWS pieces
+        for r in parted.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("n")).collect():
+            before[r["length"]][r["__part"]] = r["n"]
+        before = {x: np.cumsum(n) - n for x, n in before.items()}
+    counts = np.zeros(size + 1, np.int64)
+    counts[list(of_length)] = list(of_length.values())
+    placed = spark.sparkContext.broadcast((before, runs(plan(counts, size))))  # bounded by the histogram
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, by_length = placed.value
         for b in batches:
-            length = b["length"].to_numpy()
-            rank = b.pop("__rank").to_numpy() + before[length, b.pop("__part").to_numpy()]
-            seq, offset = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
+            length, part, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__part", "__rank"))
+            seq, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for x in np.unique(length):
                 own = np.flatnonzero(length == x)
                 lo, shift, at = by_length[int(x)]
-                k = np.searchsorted(lo, rank[own], "right") - 1
-                seq[own], offset[own] = rank[own] + shift[k], at[k]
-            yield b.assign(sequence_id=seq, offset=offset)
+                place = rank[own] + before[int(x)][part[own]]
+                k = np.searchsorted(lo, place, "right") - 1
+                seq[own], offset[own] = place + shift[k], at[k]
+            out = b.drop_columns(["__part", "__rank"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(seq), pa.array(offset)], names=[*out.schema.names, "sequence_id", "offset"])
 
     rank = F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = parted.withColumn("__rank", rank.cast("long") - 1)
-    return ranked.mapInPandas(place, T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return ranked.mapInArrow(lean(place), schema).unionByName(full.select(*(f.name for f in schema)))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:

@@ -13,7 +13,7 @@ Files hold documents in ascending id order: rows are range-partitioned by id and
 own files, under a temporary name that is renamed when complete. A task that runs again writes the same bytes.
 
 Defined cases: a null text has the end id alone; rows of one id stand in order of their texts' hashes; an empty
-table gives no files and an empty result; a damaged record raises ValueError.
+table gives no files and an empty result; a null id is written as the least 64-bit number, which is no id here; a damaged record raises ValueError.
 """
 
 from __future__ import annotations
@@ -24,17 +24,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandlog.llm.bpe import tokenizer
-from strandlog.llm.shared import new_path
+from strandlog.llm.shared import batch, lean, new_path
 
 END_ID = 0
 #: A file is closed once it has this many bytes, and another is begun.
 FILE_BYTES = 64 << 20
+#: Documents are dealt to tasks of about this many bytes of text, to MOST_PARTS tasks at the most (then larger ones).
+PART_BYTES = 256 << 20
+MOST_PARTS = 200_000
 NULL_ID = -(1 << 63)
 
 
@@ -126,29 +128,29 @@ def read_records(uri: str, name: str, wanted: np.ndarray | None = None, block: i
 
 
 FILES = "part int, number int, name string, records long, tokens long"
+_FILES = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())])
+DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_DOCS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
 
 def write_records(docs: DataFrame, uri: str, tokenizer_path: str, n_parts: int, wide: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the ids of every text, in ascending id order, as n_parts or more files; one row per file comes back."""
     dtype = "<u4" if wide else "<u2"
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tok, end = tokenizer(tokenizer_path, dtype), np.array([END_ID], dtype).tobytes()
         out = RecordWriter(uri, TaskContext.get().partitionId())
         for b in batches:
-            ids = tok.encode([x if isinstance(x, str) else "" for x in b["text"]])
-            for k, x in zip(b["doc_id"], ids, strict=True):
-                x += end
-                out.write(struct.pack("<q", NULL_ID if pd.isna(k) else int(k)) + x, len(x) // out_size)
+            for k, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1)), strict=True):
+                out.write(b"".join((struct.pack("<q", NULL_ID if k is None else k), ids.data, end)), len(ids) + 1)
         out.close()
-        yield pd.DataFrame(out.files, columns=["part", "number", "name", "records", "tokens"])
+        yield batch(_FILES, *([f[i] for f in out.files] for i in range(len(_FILES))))
 
-    out_size = np.dtype(dtype).itemsize
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("__tie", F.xxhash64("text")).repartitionByRange(n_parts, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
-    return rows.select("doc_id", "text").mapInPandas(write, FILES)
+    return rows.select("doc_id", "text").mapInArrow(lean(write, keeps=True), FILES)
 
 
 def read_documents(files: DataFrame, uri: str, wide: bool = False) -> DataFrame:
@@ -158,32 +160,33 @@ def read_documents(files: DataFrame, uri: str, wide: bool = False) -> DataFrame:
     """
     dtype = "<u4" if wide else "<u2"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, before in zip(b["name"], b["before"], strict=True):
-                rows, at = [], int(before)
+            for name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows, at = [], before
                 for payload in read_records(uri, name):
                     ids = np.frombuffer(payload, dtype, offset=8)
                     key = struct.unpack_from("<q", payload)[0]
-                    rows.append((None if key == NULL_ID else key, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((None if key == NULL_ID else key, at, len(ids), zlib.crc32(ids.astype("<u4"))))
                     at += len(ids)
                     if len(rows) == 4096:
-                        yield pd.DataFrame(rows, columns=DOCS.fieldNames()).astype({"doc_id": "Int64"})
+                        yield batch(_DOCS, *zip(*rows, strict=True))
                         rows = []
-                yield pd.DataFrame(rows, columns=DOCS.fieldNames()).astype({"doc_id": "Int64"})
+                if rows:
+                    yield batch(_DOCS, *zip(*rows, strict=True))
 
-    return files.select("name", "before").mapInPandas(read, DOCS)
-
-
-DOCS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
+    return files.select("name", "before").mapInArrow(lean(read), DOCS)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, uri: str | None = None, n_parts: int | None = None) -> DataFrame:
-    """Write the documents' ids as record files and return what the files say."""
+    """Write the documents' ids as record files and return what the files say. The driver gets a row for each file, that
+    is a few bytes for each FILE_BYTES of ids."""
     spark = docs.sparkSession
     uri = uri or new_path(spark, "records")
-    n_parts = n_parts or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = write_records(docs, uri, tokenizer_path, n_parts).collect()  # a row for each file of up to 64 MB
+    if n_parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        n_parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+    made = write_records(docs, uri, tokenizer_path, n_parts).collect()
     before, rows = 0, []
     for r in sorted(made, key=lambda r: (r["part"], r["number"])):
         rows.append((r["name"], before))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,56 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+#: Bytes of an Arrow batch that an operator gets, so that long texts don't add up to large batches.
+BATCH_BYTES = 4 << 20
+
+
+def lean(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow: what other operators kept in the worker goes first (all of it unless run keeps something
+    itself), batches of more than BATCH_BYTES come in slices, and freed memory goes back to the system at the end."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(sliced(batches))
+        finally:
+            give_back()
+
+    return go
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = max(1, b.num_rows * BATCH_BYTES // max(BATCH_BYTES, b.nbytes))
+        for lo in range(0, b.num_rows, n):
+            yield b.slice(lo, n)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass
+
+
+def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    """A batch of a given schema from arrays or lists: 64-bit ids stay whole beside nulls."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and
+    driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandlog-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

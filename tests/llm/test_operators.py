@@ -1,14 +1,16 @@
 """Operators against plain versions, with nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import base_counts, components, shingles
 
-from strandlog.llm import chat, decontam, licenses, lmscore, neardup, packing, quality, queries, records, sharding, viterbi
+from strandlog.llm import bpe, chat, decontam, licenses, lmscore, neardup, packing, quality, queries, records, sharding, viterbi
 from strandlog.llm.bpe import CachedTokenizer
 from strandlog.llm.shared import table
 
@@ -166,15 +168,18 @@ def path(name):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cached_tokens_are_whole_text_tokens(name, corpus):
+def test_cached_tokens_are_whole_text_tokens(name, corpus, monkeypatch):
     rng = random.Random(3)
     odd = ["".join(rng.choice("aB 'st\n\t  .,1é́İΣς漢🙂 \u0085\x1c<|endoftext|>") for _ in range(rng.randrange(40))) for _ in range(3000)]
     texts = odd + [t for _, t in corpus if t]
+    whole = plain_ids(name, texts)
     tok = CachedTokenizer(path(name))
-    whole = [np.array(e.ids, "<u4").tobytes() for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
-    tok.cache.entries = tok.pieces.entries = 500
-    got = [x for i in range(0, len(texts), 100) for x in tok.encode(texts[i : i + 100])]
-    assert got == whole == tok.encode(texts)
+    encode = lambda some: [x.tolist() for x in tok.encode(pa.array(some, pa.string()))]
+    assert encode(texts) == whole
+    tok.cache.entries = tok.plain_words.entries = 500
+    assert [x for i in range(0, len(texts), 100) for x in encode(texts[i : i + 100])] == whole
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 300)
+    assert encode(texts[2900:3050]) == whole[2900:3050] and encode([None, "", "a"])[:2] == [[], []] and encode([]) == []
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -183,22 +188,30 @@ def test_capitals_after_apostrophes(name):
     texts = ["O'Dónaill", "O'Súilleabháin", "CAFÉ'S", "Ñ'Tes", "ΑΣ'Σ ΟΔΟΣ", "É'RE'Ve'LLa'M"]
     texts += ["".join(rng.choice("aeÉñΣσß'''STDMdtsRrEeVvLl 1,") for _ in range(rng.randrange(40))) for _ in range(3000)]
     tok = CachedTokenizer(path(name))
-    assert tok.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tok.encode(pa.array(texts))] == plain_ids(name, texts)
 
 
-def ids_of(name, text):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path(name))
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(path(name))
+
+
+def plain_ids(name, texts):
+    """By the library as it is."""
+    return [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+
+
+def ids_of(name, text):
+    return [*plain_ids(name, [text or ""])[0], 0]
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_packing(docs, corpus, empty):
+def test_packing(docs, corpus, empty, monkeypatch):
     got = packing.pack_documents(docs, path("word_bpe_49k.json")).collect()
     want = []
     for i, t in corpus:
@@ -216,6 +229,9 @@ def test_packing(docs, corpus, empty):
             at += length
         assert at <= 2048
     assert len(seqs) <= -(-sum(r["length"] for r in got) // 2048) + 1
+    monkeypatch.setattr(packing, "PART_ROWS", 3)  # several parts of a length
+    again = packing.pack_documents(docs, path("word_bpe_49k.json")).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in again}) == len(got) and len({r["sequence_id"] for r in again}) == len(seqs)
     assert packing.pack_documents(empty, path("word_bpe_49k.json")).count() == 0
 
 
@@ -234,17 +250,18 @@ def test_plans_use_each_piece_once():
 
 def test_records(spark, docs, corpus, empty, tmp_path):
     uri = f"file://{tmp_path}/rec"
-    got = rows(records.encode_documents(docs.where("doc_id IS NOT NULL"), path("byte_bpe_50k.json"), uri, 3))
+    got = rows(records.encode_documents(docs, path("byte_bpe_50k.json"), uri, 3))
     at, want = 0, []
     known = {}
     for i, t in corpus:
         known.setdefault(i, []).append(ids_of("byte_bpe_50k.json", t))
     starts = {}
+    got = [(i, *r) for i, *r in got]
     for i, start, n, c in sorted(got, key=lambda r: r[1]):
         assert start == at and (n, c) in {(len(x), crc(x)) for x in known[i]}
         starts.setdefault(i, []).append(start)
         at += n
-    assert [i for i, *_ in sorted(got, key=lambda r: r[1])] == sorted(i for i, _ in corpus if i is not None)
+    assert [i for i, *_ in sorted(got, key=lambda r: r[1])] == sorted((i for i, _ in corpus), key=lambda i: -1 if i is None else i)
     assert records.encode_documents(empty, path("byte_bpe_50k.json")).count() == 0
     # shuffled reads by the index, and damage
     name = sorted(p.name for p in (tmp_path / "rec").glob("*.rec"))[0]
