@@ -1,269 +1,236 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score each document.
 
-Words (letters and digits, lower case) are counted over the whole corpus; every word is in the vocabulary, and bigrams
-are counted by their two words, so that both models grow with the corpus. Both models smooth alike:
+Words (runs of letters and digits, lower-cased letter by letter) of all documents are the vocabulary of both models, and
+every bigram is counted under its own two words, so what is gathered grows with the corpus. Both models smooth alike:
 
-    p(w | h) = (c(h, w) + MU * p(w)) / (c(h) + MU),    p(w) = (c(w) + 1) / (all words + size of vocabulary)
+    p(w | h) = (r c(h, w) + MU p(w)) / (r c(h) + MU),    p(w) = (c(w) + 1) / (all words + size of vocabulary)
 
-The background is all documents, the target is all documents labelled good. A token's loss is -ln p; the score is
-the mean over a document's tokens of target loss less background loss: the lower, the more like the target.
-Counts and losses are written tables, keyed by "history word" (a text's first word has an empty history); documents
-meet them in a shuffle join.
+The background counts all documents, the target those labelled good; r matches the background to the target's size (the
+share of the target's words; 1 for the target itself and where there is no target). A document is scored by what the
+*others* hold: its own words and bigrams are left out of every count. A token's loss is -ln p; the score is the mean
+over a document's tokens of target loss less background loss: the lower, the more like the target.
 
-Models of a fixed size, for callers that ask for one: with `most` only words above a count that leaves at most so many
-are known, all others are one unknown word; with `bits` bigrams are counted in 2^bits hashed bins. One given, the other
-is VOCABULARY or BITS.
+1. Documents are tokenised once, in chunks of about CHUNK_BYTES; a chunk is a row of a written table: the hashes of its
+   words, and each token as a number among them.
+2. A chunk sends each word and each bigram that it holds once, with its counts, to the bucket of its 64-bit hash. So no
+   word, bigram or copied document makes a bucket larger than others, and buckets are as many as the corpus needs.
+3. A bucket adds up its counts and sends the totals back to the chunks that asked, in the order they asked. A chunk then
+   has all that its documents need.
+
+Words and bigrams are told apart by 64-bit hashes: of 10^12 different ones some 10^4 pairs would share counts.
 
 Defined cases: a null text or one without words has 0 tokens and null losses; without target documents the target
-model is the uniform one; labels that are null or of unknown ids don't count; rows of one id are scored one by one.
+model is the uniform one; labels that are null, repeated or of unknown ids don't matter; rows of one id are scored one by
+one, and one row's twin counts as another document; a null id stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.shared import checked_broadcast, forget, written
+from strandlog.llm.bpe import gathered
+from strandlog.llm.shared import batch, checked_broadcast, forget, give_back, lean, written
 
-#: Of models of a fixed size.
-VOCABULARY = 50_000
-BITS = 20
 MU = 50.0
-#: Words or bigrams a task holds before it hands its counts on.
-HELD = 400_000
-#: Counts that travel as one array.
-BLOCK = 4096
-_WORD = re.compile(r"[^\W_]+")
-
-
-def words_of(text) -> list[str]:
-    return _WORD.findall(text.lower()) if isinstance(text, str) else []
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; each task counts before the shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                held.update(words_of(t))
-                if len(held) > HELD:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                    held = Counter()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())}).astype({"word": str, "n": "int64"})
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """All words above a count, at most `most`: the count comes from a histogram on a logarithmic scale."""
-    step = F.floor(F.log2("n") * 16)
-    rows = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()  # some hundred at most
-    total, least = 0, None
-    for r in rows:
-        if total + r["words"] > most:
-            break
-        total, least = total + r["words"], r["step"]
-    if least is None:
-        return []
-    return sorted(r["word"] for r in counts.where(step >= least).select("word").collect())
-
-
-def coded(text, ids: dict[str, int]) -> np.ndarray:
-    """Ids of a text's words: 0 is unknown."""
-    return np.array([ids.get(w, 0) for w in words_of(text)], np.int64)
-
-
-def bins(ids: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """History of each word (-1 becomes the start, written as the id after the last) and the bin of its bigram."""
-    before = np.concatenate([[-1], ids[:-1]])
-    key = ((before + 1).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-    key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return before, (key >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def model_counts(docs: DataFrame, ids, size: int, bits: int = BITS) -> DataFrame:
-    """(place, n): words at 0.. size, starts at size, bigram bins after that. Each task adds up before the shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, known = np.zeros(size + 1 + (1 << bits), np.int64), ids.value
-        for b in batches:
-            for t in b["text"]:
-                x = coded(t, known)
-                if len(x):
-                    np.add.at(total, x, 1)
-                    total[size] += 1
-                    np.add.at(total, size + 1 + bins(x, bits)[1], 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"place": at, "n": total[at]})
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Count arrays of a fixed size, and the loss of every word after its history."""
-
-    def __init__(self, counts: np.ndarray, size: int, bits: int = BITS):
-        self.size, self.bits = size, bits
-        self.unigram = ((counts[:size] + 1) / (counts[:size].sum() + size)).astype(np.float32)
-        self.history = counts[: size + 1].astype(np.float32)
-        self.bigram = counts[size + 1 :].astype(np.float32)
-
-    def losses(self, x: np.ndarray) -> np.ndarray:
-        before, at = bins(x, self.bits)
-        p = (self.bigram[at] + MU * self.unigram[x]) / (self.history[before] + MU)  # -1 is the last entry: the starts
-        return -np.log(np.minimum(p, 1.0))
-
-
-def packed(counts: DataFrame) -> DataFrame:
-    """(block, n): counts as arrays of BLOCK 64-bit numbers, so that few and small rows reach the driver."""
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(BLOCK, "<i8")
-        out[b["place"].to_numpy() % BLOCK] = b["n"].to_numpy()
-        return pd.DataFrame({"block": [key[0]], "n": [out.tobytes()]})
-
-    return counts.withColumn("block", F.floor(F.col("place") / BLOCK)).groupBy("block").applyInPandas(run, "block long, n binary")
-
-
-def fitted(docs: DataFrame, ids, size: int, bits: int) -> Model:
-    length = size + 1 + (1 << bits)
-    counts = np.zeros(-(-length // BLOCK) * BLOCK, np.int64)
-    for r in packed(model_counts(docs, ids, size, bits)).toLocalIterator():  # bounded: VOCABULARY + 2^BITS numbers
-        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], "<i8")
-    return Model(counts[:length], size, bits)
-
-
-def grams_of(text) -> Counter:
-    """Bigrams of a text and how often each stands there."""
-    words = words_of(text)
-    return Counter(map(" ".join, zip(["", *words], words)))  # one shorter by zip
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n, n_good) over docs (text, good); each task counts before the shuffle."""
+#: Text of a chunk; a longer document is a chunk of its own.
+CHUNK_BYTES = 8 << 20
+#: Counts that a bucket gets, about.
+BUCKET_ENTRIES = 500_000
+WORD, GRAM = 0, 1
+#: Odd multipliers of the hash of a bigram.
+_P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+CHUNKS = "chunk long, doc_id array<long>, good array<boolean>, n array<int>, words binary, tokens binary"
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("good", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("words", pa.binary()), ("tokens", pa.binary())])
+BLOCKS = "kind int, bucket int, chunk long, hashes binary, n binary, n_good binary"
+_BLOCKS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("n", pa.binary()), ("n_good", pa.binary())])
+TOTALS = "kind int, bucket int, chunk long, distinct long, n binary, n_good binary"
+_TOTALS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("distinct", pa.int64()), ("n", pa.binary()), ("n_good", pa.binary())])
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+
+
+def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, each token's place among them, and the number of tokens of each text."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    sizes = np.diff(cut.offsets.to_numpy())
+    parts = cut.flatten().dictionary_encode()
+    # words of the distinct parts only
+    inner = pc.split_pattern_regex(pc.utf8_lower(parts.dictionary), r"[^\p{L}\p{N}]+")
+    n_inner = np.diff(inner.offsets.to_numpy())
+    words = inner.flatten()
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(n_inner)), n_inner)[full]
+    n_inner = np.bincount(owner, minlength=len(n_inner))
+    words = words.filter(pa.array(full)).dictionary_encode()
+    tokens, n_part = gathered(words.indices.to_numpy(), n_inner, parts.indices.to_numpy().astype(np.int64))
+    n = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=n_part, minlength=len(sizes)).astype(np.int32)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return hashes, tokens.astype("<u4"), n
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, good) as chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, good = Counter(), Counter()
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def counted() -> pa.RecordBatch:
-            n = pa.array(held.values(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), n, pa.array((good[g] for g in held), pa.int64())], ["gram", "n", "n_good"])
+        def made() -> pa.RecordBatch:
+            ids, texts, good = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+            words, tokens, n = tokenized(texts)
+            planes = np.ascontiguousarray(tokens.view("u1").reshape(-1, 4).T)  # bytes of one weight together pack better
+            return batch(_CHUNKS, [number], [ids.to_pylist()], [good.to_pylist()], [n], [words.tobytes()], [planes.tobytes()])
 
         for b in batches:
-            for t, is_good in zip(b["text"].to_pylist(), b["good"].to_pylist(), strict=True):
-                grams = grams_of(t)
-                held.update(grams)
-                if is_good:
-                    good.update(grams)
-                if len(held) > HELD:
-                    yield counted()
-                    held.clear()
-                    good.clear()
-        yield counted()
-
-    return docs.mapInArrow(run, "gram string, n long, n_good long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
-
-
-def document_grams(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, gram, n) over docs (doc_id, text): row numbers the documents; one without words has a null gram."""
+            held.append(b)
+            size += b.column(1).nbytes
+            if size >= CHUNK_BYTES:
+                yield made()
+                number, held, size = number + 1, [], 0
+        if held:
+            yield made()
 
+    return docs.mapInArrow(lean(run), CHUNKS)
+
+
+class Chunk:
+    """A chunk's documents as arrays: its keys are its words and bigrams, each set ordered by bucket."""
+
+    def __init__(self, row: dict, n_buckets: int):
+        self.ids, self.n = row["doc_id"], np.array(row["n"], np.int64)
+        self.good = np.array(row["good"], bool)
+        words = np.frombuffer(row["words"], np.uint64)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.word = np.frombuffer(row["tokens"], "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+        self.starts = np.zeros(len(self.word), bool)
+        self.starts[(np.cumsum(self.n) - self.n)[self.n > 0]] = True
+        self.history = np.concatenate([[0], self.word[:-1]])  # where a text doesn't start
+        before = np.where(self.starts, np.uint64(0), words[self.history] if len(words) else np.uint64(0))
+        x = (before ^ (before >> np.uint64(29))) * _P[0] + words[self.word]
+        x = (x ^ (x >> np.uint64(32))) * _P[1]
+        gram = pa.array(x ^ (x >> np.uint64(29))).dictionary_encode()
+        self.gram = gram.indices.to_numpy().astype(np.int64)
+        self.keys = {WORD: words, GRAM: gram.dictionary.to_numpy()}
+        self.bucket = {k: ((h >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int32) for k, h in self.keys.items()}
+        self.order = {k: np.argsort(b, kind="stable") for k, b in self.bucket.items()}
+
+    def of(self, kind: int) -> np.ndarray:
+        return self.word if kind == WORD else self.gram
+
+    def blocks(self) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+        """(kind, bucket, hashes, counts, counts in good documents) of all keys."""
+        good = self.good[self.doc]
+        for kind, keys in self.keys.items():
+            order, code = self.order[kind], self.of(kind)
+            n, n_good = (np.bincount(c, minlength=len(keys)).astype("<u4")[order] for c in (code, code[good]))
+            bucket, keys = self.bucket[kind][order], keys[order]
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                yield kind, int(bucket[lo]), keys[lo:hi].tobytes(), n[lo:hi].tobytes(), n_good[lo:hi].tobytes()
+
+    def own(self, kind: int) -> np.ndarray:
+        """For each token: how often its document has its word or bigram."""
+        code = self.of(kind)
+        pair = pa.array(self.doc * max(1, len(self.keys[kind])) + code).dictionary_encode().indices.to_numpy()
+        return np.bincount(pair)[pair] if len(pair) else np.zeros(0, np.int64)
+
+
+def blocks(chunked: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            rows, ids, grams, ns = [], [], [], []
-
-            def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(grams, pa.string()), pa.array(ns, pa.int64())], ["row", "doc_id", "gram", "n"])
-
-            for k, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                found = grams_of(t) or {None: 0}
-                rows += [row] * len(found)
-                ids += [k] * len(found)
-                grams += found.keys()
-                ns += found.values()
-                row += 1
-                if len(rows) > HELD:
-                    yield made()
-                    rows, ids, grams, ns = [], [], [], []
-            yield made()
-
-    return docs.mapInArrow(run, "row long, doc_id long, gram string, n long")
-
-
-def gram_losses(grams: DataFrame) -> DataFrame:
-    """(gram, target, background): the two losses of each counted bigram."""
-    word, history = F.substring_index("gram", " ", -1), F.substring_index("gram", " ", 1)
-    sums = [F.sum("n").alias("c"), F.sum("n_good").alias("c_good")]
-    words = written(grams.groupBy(word.alias("w")).agg(*sums), "words")
-    starts = grams.where(history == "").groupBy(F.lit("").alias("w")).agg(*sums)
-    size, total, good = words.agg(F.count(F.lit(1)), F.sum("c"), F.sum("c_good")).first()
-    as_word = words.select(F.col("w").alias("word"), ((F.col("c") + 1) / F.lit(max((total or 0) + size, 1))).alias("p"), ((F.col("c_good") + 1) / F.lit(max((good or 0) + size, 1))).alias("p_good"))
-    as_history = words.unionByName(starts).withColumnRenamed("w", "history")
-    rows = grams.withColumns({"word": word, "history": history}).join(as_word, "word").join(as_history, "history")
-
-    def loss(n: str, p: str, c: str):
-        return F.ln(F.col(c) + MU) - F.ln(F.col(n) + MU * F.col(p))
-
-    out = written(rows.select("gram", loss("n_good", "p_good", "c_good").alias("target"), loss("n", "p", "c").alias("background")), "losses")
-    forget(words)
-    return out
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, most: int | None = None, bits: int | None = None) -> DataFrame:
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
+                found = list(Chunk(row, n_buckets).blocks())
+                for i in range(0, len(found), 256):
+                    kind, bucket, *rest = zip(*found[i : i + 256], strict=True)
+                    yield batch(_BLOCKS, kind, bucket, [row["chunk"]] * len(kind), *rest)
+
+    return chunked.mapInArrow(lean(run), BLOCKS)
+
+
+def totals(sent: DataFrame) -> DataFrame:
+    """The totals of each block's keys, in their order; `distinct` is a bucket's number of keys, on one of its rows."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        sizes = pc.divide(pc.binary_length(table["n"]), 4).to_numpy()
+        keys = pa.array(np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)).dictionary_encode()
+        code = keys.indices.to_numpy()
+        out = []
+        for c in ("n", "n_good"):
+            given = np.frombuffer(b"".join(table[c].to_pylist()), "<u4")
+            out.append(np.bincount(code, weights=given, minlength=len(keys.dictionary)).astype("<i8")[code])
+        cuts = np.cumsum(sizes)[:-1]
+        n, n_good = ([x.tobytes() for x in np.split(o, cuts)] for o in out)
+        distinct = [len(keys.dictionary)] + [0] * (len(sizes) - 1)
+        give_back()
+        return pa.table([table["kind"], table["bucket"], table["chunk"], pa.array(distinct, pa.int64()), pa.array(n, pa.binary()), pa.array(n_good, pa.binary())], schema=_TOTALS)
+
+    return sent.groupBy("kind", "bucket").applyInArrow(add_up, TOTALS)
+
+
+def losses(chunk: Chunk, n: dict[int, np.ndarray], n_good: dict[int, np.ndarray], corpus: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token, by the counts of the other documents: target and background loss. corpus: words, good, vocabulary,
+    texts (that have words), good_texts."""
+    own = {k: chunk.own(k) for k in (WORD, GRAM)}
+    good = chunk.good[chunk.doc]
+    own_history = np.where(chunk.starts, 1, 0)
+    # how often the document has a token's history: that of the token before
+    own_history[~chunk.starts] = own[WORD][np.flatnonzero(~chunk.starts) - 1]
+    length = chunk.n[chunk.doc]
+    out = []
+    for counts, whole, texts, out_of, r in (
+        (n_good, corpus["good"], corpus["good_texts"], good, 1.0),
+        (n, corpus["words"], corpus["texts"], np.ones(len(good), bool), corpus["good"] / corpus["words"] if corpus["good"] else 1.0),
+    ):
+        word, gram = (counts[k][chunk.of(k)] - own[k] * out_of for k in (WORD, GRAM))
+        history = np.where(chunk.starts, texts, counts[WORD][chunk.history] if len(counts[WORD]) else 0) - own_history * out_of
+        p = (word + 1) / (whole - length * out_of + corpus["vocabulary"])
+        out.append(np.log(r * history + MU) - np.log(r * gram + MU * p))
+    return out[0], out[1]
+
+
+def scored(chunked: DataFrame, found: DataFrame, n_buckets: int, corpus: dict[str, int]) -> DataFrame:
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        for i in range(left.num_rows):
+            c = Chunk(left.slice(i, 1).to_pylist()[0], n_buckets)
+            counts = {x: {} for x in ("n", "n_good")}
+            for kind in (WORD, GRAM):
+                own = right.filter(pc.equal(right["kind"], kind)).sort_by("bucket")
+                for x in counts:
+                    counts[x][kind] = np.empty(len(c.keys[kind]), np.int64)
+                    counts[x][kind][c.order[kind]] = np.frombuffer(b"".join(own[x].to_pylist()), "<i8")
+            target, background = losses(c, counts["n"], counts["n_good"], corpus)
+            n = np.where(c.n, c.n, 1)
+            means = [np.bincount(c.doc, weights=x, minlength=len(c.n)) / n for x in (target, background, target - background)]
+            parts.append(batch(_SCORES, c.ids, c.n, *(pa.array(m, mask=c.n == 0) for m in means)))
+        give_back()
+        return pa.Table.from_batches(parts, schema=_SCORES)
+
+    return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, SCORES)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss (means), score."""
-    ids = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    if most is not None or bits is not None:
-        return fixed_size_difference(docs, ids, VOCABULARY if most is None else most, BITS if bits is None else bits)
-    text = F.col("text").cast("string").alias("text")
-    good = checked_broadcast(ids.withColumn("good", F.lit(True)))
-    counts = written(gram_counts(docs.select("doc_id", text).join(good, "doc_id", "left").select("text", "good")), "grams")
-    losses = gram_losses(counts)
-    forget(counts)
-    rows = document_grams(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)).join(losses, "gram", "left")
-    tokens = F.sum("n")
-
-    def mean(x):
-        return F.sum(F.col("n") * x) / F.nullif(tokens, F.lit(0))
-
-    target, background = F.col("target"), F.col("background")
-    out = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), tokens.alias("n_tokens"), mean(target).alias("target_loss"), mean(background).alias("background_loss"), mean(target - background).alias("score"))
-    return out.drop("row")
-
-
-def fixed_size_difference(docs: DataFrame, target_ids: DataFrame, most: int, bits: int) -> DataFrame:
-    """cross_entropy_difference() by models of a fixed size, which each task holds."""
-    spark = docs.sparkSession
-    counts = written(word_counts(docs), "words")
-    words = vocabulary(counts, most)
-    forget(counts)
-    ids, size = spark.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)}), len(words) + 1
-    target = docs.join(checked_broadcast(target_ids), "doc_id", "left_semi")
-    both = spark.sparkContext.broadcast((fitted(target, ids, size, bits), fitted(docs, ids, size, bits)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (one, other), known = both.value, ids.value
-        for b in batches:
-            rows = []
-            for k, t in zip(b["doc_id"], b["text"], strict=True):
-                x = coded(t, known)
-                if not len(x):
-                    rows.append((k, 0, math.nan, math.nan, math.nan))
-                    continue
-                a, c = one.losses(x), other.losses(x)
-                rows.append((k, len(x), float(a.mean(dtype=float)), float(c.mean(dtype=float)), float((a - c).mean(dtype=float))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "target_loss", "background_loss", "score"]).astype({"doc_id": "Int64"})
-
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    rows = rows.join(checked_broadcast(ids), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    chunked = written(chunks(rows), "chunks")
+    each = chunked.select(F.explode(F.arrays_zip("n", "good")).alias("x")).select("x.*")
+    good = F.col("good").cast("int")
+    sums = each.agg(F.sum("n"), F.sum(F.col("n") * good), F.sum((F.col("n") > 0).cast("int")), F.sum((F.col("n") > 0).cast("int") * good)).first()
+    corpus = dict(zip(("words", "good", "texts", "good_texts"), (int(x or 0) for x in sums), strict=True))
+    n_buckets = max(1, -(-2 * corpus["words"] // BUCKET_ENTRIES))
+    found = written(totals(blocks(chunked, n_buckets)), "totals")
+    corpus["vocabulary"] = int(found.where(F.col("kind") == WORD).agg(F.sum("distinct")).first()[0] or 0)
+    out = written(scored(chunked, found, n_buckets, corpus), "scores")
+    forget(chunked)
+    forget(found)
+    return out

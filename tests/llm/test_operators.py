@@ -460,83 +460,66 @@ def test_a_wide_band_gives_the_full_alignment():
 # ---- op7
 
 
-def test_cross_entropy(spark, docs, corpus, empty):
+def cross_entropy_by_hand(rows, good_ids):
+    """(doc_id, n_tokens, target, background, score) of each row, one document after the other."""
     import math
     from collections import Counter
 
-    good = spark.createDataFrame([(i, 1) for i in range(0, 60)] + [(None, 1), (5000, 1)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs, good, most=300, bits=12).collect()}
-    total = Counter(w for _, t in corpus for w in lmscore.words_of(t))
-    vocab, steps = set(), Counter(math.floor(math.log2(n) * 16) for n in total.values())
-    for s in sorted(steps, reverse=True):
-        level = {w for w, n in total.items() if math.floor(math.log2(n) * 16) == s}
-        if len(vocab) + len(level) > 300:
-            break
-        vocab |= level
-    ids = {w: i for i, w in enumerate(sorted(vocab), 1)}
-    size = len(ids) + 1
-
-    def model(texts):
-        uni, hist, big = Counter(), Counter(), Counter()
-        for t in texts:
-            x = lmscore.coded(t, ids)
-            if len(x):
-                for h, w, b in zip([-1, *x[:-1]], x, lmscore.bins(x, 12)[1], strict=True):
-                    uni[w] += 1
-                    big[b] += 1
-                    hist[h] += 1 if h == -1 else 0
-        hist.update(uni)
-        n = sum(uni.values())
-        return lambda h, w, b: -math.log(min(1, (big[b] + 50 * (uni[w] + 1) / (n + size)) / (hist[h] + 50)))
-
-    target, back = model([t for i, t in corpus if i is not None and i < 60]), model([t for _, t in corpus])
-    for i, t in corpus:
-        x = lmscore.coded(t, ids)
-        if i is None or i == 904 or len(x) > 2000:
-            continue
-        assert got[i]["n_tokens"] == len(x)
-        if len(x):
-            pairs = list(zip([-1, *x[:-1]], x, lmscore.bins(x, 12)[1], strict=True))
-            a, b = (sum(m(*p) for p in pairs) / len(x) for m in (target, back))
-            assert abs(got[i]["score"] - (a - b)) < 1e-4 and abs(got[i]["target_loss"] - a) < 1e-4
-    assert got[900]["score"] is None or math.isnan(got[900]["score"])
-    assert lmscore.cross_entropy_difference(empty, good).count() == 0
+    import regex
+
+    of = [(i, regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()), i in good_ids) for i, t in rows]
+
+    def counted(chosen):
+        word, gram, history = Counter(), Counter(), Counter()
+        for w in chosen:
+            word.update(w)
+            gram.update(zip(["", *w], w))
+            history.update(["", *w] if w else [])
+        return word, gram, history
+
+    whole, target = counted([w for _, w, _ in of]), counted([w for _, w, g in of if g])
+    n_whole, n_target, size = sum(whole[0].values()), sum(target[0].values()), len(whole[0])
+    out = []
+    for i, w, is_good in of:
+        own = counted([w])
+        sums = []
+        for (word, gram, history), n, leaves, r in ((target, n_target, is_good, 1.0), (whole, n_whole, True, n_target / n_whole if n_target else 1.0)):
+            less = own if leaves else counted([])
+            total = 0.0
+            for h, x in zip(["", *w], w):
+                p = (word[x] - less[0][x] + 1) / (n - len(w) * leaves + size)
+                total -= math.log((r * (gram[h, x] - less[1][h, x]) + 50 * p) / (r * (history[h] - less[2][h]) + 50))
+            sums.append(total / len(w) if w else None)
+        out.append((i, len(w), *sums, sums[0] - sums[1] if w else None))
+    return out
+
+
+def same_scores(got, want):
+    def order(r):
+        return str(r[0]), r[1], *(round(x or 0, 6) for x in r[2:])
+
+    assert len(got) == len(want)
+    for x, y in zip(sorted(want, key=order), sorted(map(tuple, got), key=order), strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-9)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_cross_entropy(spark, docs, corpus, empty, monkeypatch, small):
+    if small:  # many chunks and buckets
+        monkeypatch.setattr(lmscore, "CHUNK_BYTES", 3000)
+        monkeypatch.setattr(lmscore, "BUCKET_ENTRIES", 2000)
+    good = spark.createDataFrame([(i, 1) for i in range(0, 60)] + [(3, 1), (None, 1), (5000, 1)], "doc_id long, quality int")
+    same_scores(lmscore.cross_entropy_difference(docs, good).collect(), cross_entropy_by_hand(corpus, set(range(60))))
+    if not small:
+        same_scores(lmscore.cross_entropy_difference(docs, good.limit(0)).collect(), cross_entropy_by_hand(corpus, set()))
+        assert lmscore.cross_entropy_difference(empty, good).count() == 0
 
 
 def test_cross_entropy_knows_all_words_and_bigrams(spark):
     """More words than any fixed vocabulary of 50,000: rare words keep counts of their own."""
-    import math
-    from collections import Counter
-
     rng = random.Random(5)
     texts = [(i, " ".join(f"w{rng.randrange(60_000) if rng.random() < 0.8 else rng.randrange(40)}" for _ in range(2000))) for i in range(80)]
     texts += [(100, "Rare rare, twin"), (100, "rare"), (None, "w1 w2"), (101, "?"), (102, None)] + [(200 + i, f"only{i * 997 + j} only{i * 997 + j + 1}") for i in range(2) for j in range(400)]
     good = spark.createDataFrame([(i, 1) for i in [*range(20), 100, None]], "doc_id long, quality int")
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    got = lmscore.cross_entropy_difference(docs, good).collect()
-    assert len(got) == len(texts)
-    vocabulary = {w for _, t in texts for w in lmscore.words_of(t)}
-    assert len(vocabulary) > 50_000
-
-    def model(chosen):
-        uni, hist, big = Counter(), Counter(), Counter()
-        for t in chosen:
-            w = lmscore.words_of(t)
-            uni.update(w)
-            hist.update(["", *w] if w else [])
-            big.update(zip(["", *w], w))
-        n = sum(uni.values())
-        return lambda h, w: -math.log((big[h, w] + 50 * (uni[w] + 1) / (n + len(vocabulary))) / (hist[h] + 50))
-
-    target, back = model([t for i, t in texts if i in {*range(20), 100}]), model([t for _, t in texts])
-    want = []
-    for i, t in texts:
-        w = lmscore.words_of(t)
-        a, b = ([m(*p) for p in zip(["", *w], w)] for m in (target, back))
-        want.append((i, len(w), *(sum(x) / len(w) if w else None for x in (a, b, [x - y for x, y in zip(a, b)]))))
-
-    def order(r):
-        return str(r[0]), r[1], *(round(x or 0, 6) for x in r[2:])
-
-    for x, y in zip(sorted(want, key=order), sorted(map(tuple, got), key=order), strict=True):
-        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-9)
+    same_scores(lmscore.cross_entropy_difference(docs, good).collect(), cross_entropy_by_hand(texts, {*range(20), 100}))
