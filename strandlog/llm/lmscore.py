@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.bpe import gathered
-from strandlog.llm.shared import batch, checked_broadcast, forget, give_back, lean, written
+from strandlog.llm.shared import arrow, batch, checked_broadcast, forget, give_back, written
 
 MU = 50.0
 #: Text of a chunk; a longer document is a chunk of its own.
@@ -98,7 +98,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield made()
 
-    return docs.mapInArrow(lean(run), CHUNKS)
+    return arrow(docs, run, CHUNKS)
 
 
 class Chunk:
@@ -152,7 +152,7 @@ def blocks(chunked: DataFrame, n_buckets: int) -> DataFrame:
                     kind, bucket, *rest = zip(*found[i : i + 256], strict=True)
                     yield batch(_BLOCKS, kind, bucket, [row["chunk"]] * len(kind), *rest)
 
-    return chunked.mapInArrow(lean(run), BLOCKS)
+    return arrow(chunked, run, BLOCKS)
 
 
 def totals(sent: DataFrame) -> DataFrame:

@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm import setsketch as S
 from strandlog.llm.components import components
-from strandlog.llm.shared import checked_broadcast, forget, kept, written
+from strandlog.llm.shared import arrow, checked_broadcast, forget, give_back, small_batches, written
 
 ROWS = 5  # registers of a band
 BANDS = S.REGISTERS // ROWS
@@ -40,41 +41,37 @@ SMALL = 24
 BLOCK = 512
 
 
-def shingler(k: int) -> S.Shingler:
-    return kept(("shingles", k), lambda: S.Shingler(k))
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def sketches(docs: DataFrame, k: int = S.K) -> DataFrame:
     """doc_id, n (set size), digest and registers of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, last = shingler(k), {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = {}
         for b in batches:
             n, digest, regs = [], [], []
-            for t in b.pop("text"):
-                h = make.hashes(t if isinstance(t, str) else None)
-                d = xxhash.xxh3_128_digest(h.tobytes())
+            for h in S.shingle_sets(b.column("text"), k):
+                d = xxhash.xxh3_128_digest(h)
                 if d not in last:  # copies often stand together
                     last = {d: S.registers(h).tobytes()}
                 n.append(len(h)), digest.append(d), regs.append(last[d])
-            yield b.assign(n=n, digest=digest, registers=regs)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n", "digest", "registers"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n long, digest binary, registers binary")
+    return arrow(texts_of(docs), run, "doc_id long, n long, digest binary, registers binary")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, k: int = S.K) -> DataFrame:
     """(id, digest, hashes) of the rows whose doc_id is in wanted (id)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = shingler(k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [make.hashes(t if isinstance(t, str) else None).tobytes() for t in b["text"]]
-            yield pd.DataFrame({"id": b["doc_id"], "digest": [xxhash.xxh3_128_digest(x) for x in h], "hashes": h})
+            h = S.shingle_sets(b.column("text"), k)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["id", "digest", "hashes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some = rows.join(checked_broadcast(wanted.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    return some.mapInPandas(run, "id long, digest binary, hashes binary")
+    some = texts_of(docs).join(checked_broadcast(wanted.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    return arrow(some, run, "id long, digest binary, hashes binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -82,18 +79,19 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     full = written(sets(docs, ends, k).dropDuplicates(["id", "digest"]), "sets")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b["hu"], b["hv"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("hu"), b.column("hv"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[keep, ["u", "v"]]
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     one = full.select(F.col("id").alias("u"), F.col("digest").alias("du"), F.col("hashes").alias("hu"))
     other = full.select(F.col("id").alias("v"), F.col("digest").alias("dv"), F.col("hashes").alias("hv"))
-    found = written(pairs.select("u", "v", "du", "dv").join(one, ["u", "du"]).join(other, ["v", "dv"]).select("u", "v", "hu", "hv").mapInPandas(run, "u long, v long"), "links")
+    both = pairs.select("u", "v", "du", "dv").join(one, ["u", "du"]).join(other, ["v", "dv"]).select("u", "v", "hu", "hv")
+    found = written(arrow(both, run, "u long, v long"), "links")
     forget(full)
     return found
 
@@ -101,18 +99,20 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def estimated(pairs: DataFrame, classes: DataFrame, loose: float) -> DataFrame:
     """Distinct pairs of classes (a < b) whose likeliest similarity isn't below loose, with that similarity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(-1, S.REGISTERS) for c in ("ra", "rb"))
-            fit = S.likely(x, y, b["na"].to_numpy(float), b["nb"].to_numpy(float), loose)
-            b, x, y = b[fit], x[fit], y[fit]
-            yield b[["a", "b", "u", "v", "du", "dv"]].assign(j=S.similarity(x, y, b["na"].to_numpy(float), b["nb"].to_numpy(float)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, S.REGISTERS) for c in ("ra", "rb"))
+                na, nb = (b.column(c).to_numpy().astype(float) for c in ("na", "nb"))
+                fit = S.likely(x, y, na, nb, loose)
+                j = S.similarity(x[fit], y[fit], na[fit], nb[fit])
+                out = b.select(["a", "b", "u", "v", "du", "dv"]).filter(pa.array(fit))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(j)], names=[*out.schema.names, "j"])
 
     one = classes.select(*(F.col(c).alias(n) for c, n in (("class", "a"), ("id", "u"), ("digest", "du"), ("n", "na"), ("registers", "ra"))))
     other = classes.select(*(F.col(c).alias(n) for c, n in (("class", "b"), ("id", "v"), ("digest", "dv"), ("n", "nb"), ("registers", "rb"))))
-    return pairs.join(one, "a").join(other, "b").mapInPandas(run, "a long, b long, u long, v long, du binary, dv binary, j double")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "u", "v", "du", "dv", "na", "nb", "ra", "rb")
+    return arrow(both, run, "a long, b long, u long, v long, du binary, dv binary, j double")
 
 
 def crossing(members: DataFrame, classes: DataFrame, small_sets: DataFrame, loose: float, percent: int) -> DataFrame:
@@ -152,6 +152,7 @@ def crossing(members: DataFrame, classes: DataFrame, small_sets: DataFrame, loos
                 if 100 * both >= percent * (n[x] + n[z] - both):
                     out.append((x, z))
                     roots[roots == roots[z]] = roots[x]
+        give_back()
         at, to = (np.array([p[i] for p in out], int) for i in (0, 1))
         pick = lambda c, k: b[c].to_numpy()[k]
         return pd.DataFrame({"u": pick("id", at), "v": pick("id", to), "du": pick("digest", at), "dv": pick("digest", to)})
@@ -163,11 +164,12 @@ def crossing(members: DataFrame, classes: DataFrame, small_sets: DataFrame, loos
 def cut_sets(full: DataFrame) -> DataFrame:
     """(digest, words): distinct 32-bit hashes of the sets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "words": [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in b["hashes"]]})
+            words = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in b.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(words, pa.binary())], names=["digest", "words"])
 
-    return full.select("digest", "hashes").mapInPandas(run, "digest binary, words binary").dropDuplicates(["digest"])
+    return arrow(full.select("digest", "hashes"), run, "digest binary, words binary").dropDuplicates(["digest"])
 
 
 def likely_rows(regs: np.ndarray, n: np.ndarray, x: int, y: np.ndarray, loose: float) -> np.ndarray:
@@ -178,6 +180,7 @@ def likely_rows(regs: np.ndarray, n: np.ndarray, x: int, y: np.ndarray, loose: f
 
 def near_duplicates(docs: DataFrame, k: int = S.K, percent: int = PERCENT, loose: float = LOOSE) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     rows = written(sketches(docs, k), "sketches")
     # a class is all rows with one digest; a class number that holds several ids of one document apart is its digest's hash
     grouped = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))

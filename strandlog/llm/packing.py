@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandlog.llm.bpe import tokenizer
-from strandlog.llm.shared import batch, lean, written
+from strandlog.llm.shared import arrow, batch, written
 
 SIZE = 2048
 END_ID = 0
@@ -48,7 +48,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, key
                     row.append(i), piece.append(p), start.append(at), length.append(len(own)), crc.append(zlib.crc32(own))
             yield batch(_PIECES, b.column(0).take(pa.array(row, pa.int64())), piece, start, length, crc)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(cut, keeps=True), PIECES)
+    return arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), cut, PIECES, keeps=True)
 
 
 def fill(free: np.ndarray, gap: int) -> tuple[int, ...]:
@@ -161,7 +161,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = parted.withColumn("__rank", rank.cast("long") - 1)
-    return ranked.mapInArrow(lean(place), schema).unionByName(full.select(*(f.name for f in schema)))
+    return arrow(ranked, place, schema).unionByName(full.select(*(f.name for f in schema)))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:

@@ -16,11 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.llm.shared import arrow
 from strandlog.llm.trees import Trees, fit
 
 MIN_WORDS = 50
@@ -82,20 +82,18 @@ def measured(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees | None:
     """Trees fitted on at most `most` labelled documents; None if the labels have only one kind."""
-    given = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__y"))
+    given = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("int").alias("__y"))
     # a few more ids than needed, since some may not be in the table
     some = given.orderBy(F.xxhash64("__id"), "__id").limit(2 * most)
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(some), "__id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(some), "__id")
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, x = measured(b["__text"])
-            out = pd.DataFrame(x, columns=FEATURES)
-            out["id"], out["y"], out["failed"] = b["__id"].to_numpy(), b["__y"].to_numpy(), base_failed(counts[:, 0], counts[:, 4])
-            yield out
+            counts, x = measured(b.column("__text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(len(FEATURES))), b.column("__id"), b.column("__y"), pa.array(base_failed(counts[:, 0], counts[:, 4]))], names=[*FEATURES, "id", "y", "failed"])
 
     schema = ", ".join(f"{c} double" for c in FEATURES) + ", id long, y int, failed boolean"
-    got = rows.mapInPandas(measure, schema).where("NOT failed").orderBy(F.xxhash64("id"), *FEATURES).limit(most).toPandas()
+    got = arrow(rows, measure, schema).where("NOT failed").orderBy(F.xxhash64("id"), *FEATURES).limit(most).toPandas()
     if got["y"].nunique() < 2:
         return None
     return fit(got[FEATURES].to_numpy(), got["y"].to_numpy(float), np.array([MONOTONE.get(f, 0) for f in FEATURES]))
@@ -118,7 +116,7 @@ def judge(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean")
+    return arrow(rows, run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean")
 
 
 def keep(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,4 +127,4 @@ def keep(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD) ->
             yield b.filter(pa.array(verdicts(b.column(at).to_pylist(), trees, threshold)[2]))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

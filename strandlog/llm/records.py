@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.bpe import tokenizer
-from strandlog.llm.shared import batch, lean, new_path
+from strandlog.llm.shared import arrow, batch, new_path
 
 END_ID = 0
 #: A file is closed once it has this many bytes, and another is begun.
@@ -150,7 +150,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer_path: str, n_parts: int,
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("__tie", F.xxhash64("text")).repartitionByRange(n_parts, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
-    return rows.select("doc_id", "text").mapInArrow(lean(write, keeps=True), FILES)
+    return arrow(rows.select("doc_id", "text"), write, FILES, keeps=True)
 
 
 def read_documents(files: DataFrame, uri: str, wide: bool = False) -> DataFrame:
@@ -175,7 +175,7 @@ def read_documents(files: DataFrame, uri: str, wide: bool = False) -> DataFrame:
                 if rows:
                     yield batch(_DOCS, *zip(*rows, strict=True))
 
-    return files.select("name", "before").mapInArrow(lean(read), DOCS)
+    return arrow(files.select("name", "before"), read, DOCS)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, uri: str | None = None, n_parts: int | None = None) -> DataFrame:

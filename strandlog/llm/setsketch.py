@@ -10,6 +10,8 @@ are greater, less and equal, given both (exactly known) set sizes.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 REGISTERS = 200
@@ -21,7 +23,6 @@ _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-WORD_ENTRIES = 500_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -32,28 +33,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class Shingler:
-    """64-bit hashes of the distinct shingles of a text; word hashes are cached up to a bound."""
-
-    def __init__(self, k: int = K):
-        self.k, self.words = k, {}
-
-    def hashes(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.words
-        if len(known) > WORD_ENTRIES:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.k, len(h))
-        out = np.full(len(h) - k + 1, np.uint64(len(h) if k < self.k else 0))
+def shingle_sets(texts: pa.Array, k: int = K) -> list[np.ndarray]:
+    """64-bit hashes of the distinct shingles of each text, sorted; empty for null and texts without words."""
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    cut = pc.ascii_split_whitespace(texts)  # exactly 0x20 and 0x09-0x0D
+    owner = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    words = cut.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    owner, words = owner[full.to_numpy(zero_copy_only=False)], words.filter(full).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    h, n = known[words.indices.to_numpy()], np.bincount(owner, minlength=len(texts))
+
+    def mix(h: np.ndarray, k: int, seed: int) -> np.ndarray:
+        out = np.full(max(0, len(h) - k + 1), np.uint64(seed))
         for i in range(k):
             out = mixed(out * _P[i % 4] + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+        return out
+
+    whole, out, at = mix(h, k, 0), [], 0
+    for m in n.tolist():
+        if m >= k:
+            out.append(np.unique(whole[at : at + m - k + 1]))
+        else:  # the whole sequence is one shingle
+            out.append(mix(h[at : at + m], m, m) if m else np.empty(0, np.uint64))
+        at += m
+    return out
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:

@@ -27,29 +27,30 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 #: Bytes of an Arrow batch that an operator gets, so that long texts don't add up to large batches.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
-def lean(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
-    """run, for mapInArrow: what other operators kept in the worker goes first (all of it unless run keeps something
-    itself), batches of more than BATCH_BYTES come in slices, and freed memory goes back to the system at the end."""
+def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH_BYTES at most (unless the session has a limit of its own). In the
+    worker, what other operators kept goes first (all of it unless run keeps something itself), and freed memory goes back
+    to the system at the end."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
             _kept.clear()
         try:
-            yield from run(sliced(batches))
+            yield from run(batches)
         finally:
             give_back()
 
-    return go
+    small_batches(df.sparkSession)
+    return df.mapInArrow(go, schema)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = max(1, b.num_rows * BATCH_BYTES // max(BATCH_BYTES, b.nbytes))
-        for lo in range(0, b.num_rows, n):
-            yield b.slice(lo, n)
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # the default
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def give_back() -> None:

@@ -17,15 +17,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.llm.shared import arrow, kept
+
 SPACE = "▁"
 UNKNOWN = "<unk>"
 #: Score that an unknown character has below the least one (fixed value of the tokenizer).
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def unigram_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -106,23 +108,18 @@ class Counter:
         return score, pieces, len(words)
 
 
-_made: dict[str, Counter] = {}
-
-
 def counter(model_path: str) -> Counter:
-    if model_path not in _made:
-        _made[model_path] = Counter(unigram_vocabulary(model_path))
-    return _made[model_path]
+    return kept(("viterbi", model_path), lambda: Counter(unigram_vocabulary(model_path)))
 
 
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, n_words and the best segmentation's score for every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path)
         for b in batches:
-            got = [c.count(t) if isinstance(t, str) else (0.0, 0, 0) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [g[1] for g in got], "n_words": [g[2] for g in got], "score": [g[0] for g in got]})
+            score, pieces, words = zip(*(c.count(t or "") for t in b.column("text").to_pylist()), strict=True) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pieces, pa.int64()), pa.array(words, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "n_words", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, n_words long, score double")
+    return arrow(rows, run, "doc_id long, n_tokens long, n_words long, score double", keeps=True)
