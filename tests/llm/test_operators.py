@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import base_counts, components, shingles
+from brute import base_counts, components, holds, shingles
 
 from strandlog.llm import bpe, chat, decontam, licenses, lmscore, neardup, packing, quality, queries, records, sharding, viterbi
 from strandlog.llm.bpe import CachedTokenizer
@@ -417,6 +417,37 @@ def test_parts_of_items_and_changed_words(spark):
 
 
 
+def test_names_that_open_sentences_and_repeated_ids(spark):
+    asked = "Anna buys 12 apples. Anna gives 4 apples to Ben. How many apples does Anna have left?"
+    asks = "Tom buys 7 apples. Tom gives 2 apples to Karl. How many apples does Tom have left?"
+    letters = "James writes 3 letters to two friends every week. James mails them on Monday."
+    items = spark.createDataFrame([(1, asked), (1, "seven other words stand in this second text of the item"), (2, letters), (2, letters), (None, asked)], "item_id long, text string")
+    cases = [(1, asks, [1]), (2, asked.lower(), [1]), (3, asked.upper(), [1]), (4, letters.replace("James", "Peter").replace("3", "15"), [2]), (5, asks.replace("does Tom", "does Karl"), []), ((1 << 53) + 1, asked + " " + letters, [1, 2])]
+    d = spark.createDataFrame([(i, t) for i, t, _ in cases] + [(None, "none")], "doc_id long, text string")
+    got = rows(decontam.contaminated(d, items).select("doc_id", "item_id"))
+    assert sorted(got) == sorted((i, k) for i, _, ks in cases for k in ks)
+
+
+def test_contamination_like_every_alignment(spark):
+    rng = random.Random(11)
+    common = ["the", "of", "a", "and", "Tom", "Anna", "has", "12 km", "7", "3.5 hours", "went", "to", "Paris", "on", "with", "kg", "20%", "He", "if"]
+    word = lambda: rng.choice(common) if rng.random() < 0.6 else "".join(rng.choice("abcde") for _ in range(4))
+    items = [(i % 25, " ".join(word() for _ in range(rng.randrange(1, 40))) + ".") for i in range(30)]
+    texts = []
+    for _, t in items * 4:
+        w = t.split(" ")
+        lo = rng.randrange(len(w)) // 2
+        w = w[lo : lo + rng.randrange(1, len(w) + 1)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join([*(word() for _ in range(rng.randrange(20))), *w, *(word() for _ in range(rng.randrange(20)))]))
+    texts = [x.lower() if i % 9 == 0 else x.replace("Tom", "Carl").replace("12", "99") if i % 3 == 0 else x for i, x in enumerate(texts)]
+    want = {(i, k) for i, t in enumerate(texts) for k, item in items if holds(t, item, decontam.VARIANTS)}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id"))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 # ---- op5
 
 
