@@ -2,13 +2,17 @@
 
 Templates are word sequences (ASCII letters and digits, lower case). Of each template the winnowed fingerprints of
 its K-word grams (the least hash of every W neighbouring ones) make an inverted index, which finds any shared run of
-K + W - 1 words. A document is looked up at every place; each hit names a template and an alignment. Around
-it the document is aligned with the template in a band, with free ends in the document, and the words that match
-give the coverage and the span.
+K + W - 1 words. A document is looked up at every place; each hit names a template and a diagonal, that is where the
+template would start. Diagonals of a template that lie together are one candidate: the document is aligned with the
+template in a band around the first of them, with free ends in the document, and the words that match give the coverage
+and the span. The band is as many words wide to either side as the template has, BAND at least, and the next candidate
+starts half a band further, so words put in may move a notice by up to half its length (3 words at least) and it is still
+found whole, if K + W - 1 of its words stand together.
 
 The templates are a bounded list that travels with the code. Defined cases: a null or empty text has no match;
 two notices of one licence are two spans; of overlapping spans of one licence the better covered stays; rows of one
-id are scanned one by one; templates shorter than a gram are refused; an empty table gives an empty result.
+id are scanned one by one, a null id stays null; templates shorter than a gram are refused; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.license_templates import TEMPLATES
+from strandlog.llm.shared import arrow, batch
 
 K = 3
 W = 3
@@ -85,11 +90,12 @@ class Index:
         ids = self.ids([m[0].lower() for m in marks])
         found: dict[str, list[tuple[float, int, int, int]]] = {}
         last: dict[int, int] = {}
-        for t, start in self.hits(ids):
-            if t in last and start - last[t] <= BAND:  # the same alignment
+        for t, start in self.hits(ids):  # by template, then by diagonal
+            band = band_of(len(self.templates[t]))
+            if t in last and start - last[t] <= band // 2:  # inside the band of the candidate before
                 continue
             last[t] = start
-            matched, lo, hi = aligned(ids, self.templates[t], start)
+            matched, lo, hi = aligned(ids, self.templates[t], start, band)
             cover = matched / len(self.templates[t])
             if cover >= COVERAGE:
                 found.setdefault(self.names[t], []).append((cover, matched, marks[lo].start(), marks[hi].end()))
@@ -103,40 +109,53 @@ class Index:
         return sorted(out, key=lambda r: (r[3], r[0]))
 
 
+def band_of(n: int) -> int:
+    return max(BAND, n)
+
+
 def aligned(doc: np.ndarray, template: np.ndarray, start: int, band: int = BAND) -> tuple[int, int, int]:
     """Longest common subsequence of the template with the document, in a band around the diagonal that begins at
-    `start`: matched words, and the first and last matched word of the document."""
-    n, width = len(template), 2 * band + 1
-    # cell b of row i is document word start + i + b - band; (matched, first, last) of the best path up to it
-    above = [(0, -1, -1)] * (width + 1)
+    `start`: matched words, and the first and last matched word of the document (of the most matches, the shortest span)."""
+    lo, n = max(0, start - band), len(template)
+    words = doc[lo : max(lo, start + n + band)]
+    unit, at = len(words) + 1, np.arange(len(words))
+    # best[j]: matches among the first j words, times unit, plus the first matched word, a later one being better
+    best = np.zeros(unit, np.int64)
+    diagonal = at + (lo - start)
     for i in range(n):
-        row, beside = [], (0, -1, -1)
-        for b in range(width):
-            at = start + i + b - band
-            best = max(above[b + 1], beside, key=lambda c: (c[0], c[1] - c[2]))
-            if 0 <= at < len(doc) and doc[at] == template[i]:
-                m, first, _ = above[b]
-                best = max(best, (m + 1, first if m else at, at), key=lambda c: (c[0], c[1] - c[2]))
-            row.append(best)
-            beside = best
-        above = [*row, row[-1]]
-    return max(above, key=lambda c: (c[0], c[1] - c[2]))
+        hit = np.flatnonzero((words == template[i]) & (np.abs(diagonal - i) <= band))
+        if len(hit):
+            before = best[hit]
+            best[hit + 1] = np.maximum(best[hit + 1], np.where(before >= unit, before + unit, unit + hit))
+            np.maximum.accumulate(best, out=best)
+    count = best // unit
+    if not count[-1]:
+        return 0, -1, -1
+    ends = np.flatnonzero(count == count[-1])
+    first = best[ends] % unit
+    k = int((ends - first).argmin())
+    return int(count[-1]), lo + int(first[k]), lo + int(ends[k]) - 1
+
+
+FOUND = "doc_id long, license string, n_spans long, coverage double, matched_words long, spans array<struct<start: long, end: long>>"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("n_spans", pa.int64()), ("coverage", pa.float64()), ("matched_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def license_scan(docs: DataFrame, templates=None) -> DataFrame:
     """One row per document and licence found: doc_id, license, n_spans, coverage (the best), matched_words, spans."""
     index = Index(templates)  # bounded by the templates
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for k, t in zip(b["doc_id"], b["text"], strict=True):
+            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 by: dict[str, list] = {}
-                for name, cover, matched, lo, hi in index.scan(t if isinstance(t, str) else None):
+                for name, cover, matched, lo, hi in index.scan(t):
                     by.setdefault(name, []).append((cover, matched, lo, hi))
                 for name, s in by.items():
                     rows.append((k, name, len(s), max(x[0] for x in s), max(x[1] for x in s), [{"start": x[2], "end": x[3]} for x in s]))
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "n_spans", "coverage", "matched_words", "spans"]).astype({"doc_id": "Int64"})
+            if rows:
+                yield batch(_FOUND, *zip(*rows, strict=True))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, license string, n_spans long, coverage double, matched_words long, spans array<struct<start: long, end: long>>")
+    return arrow(rows, run, FOUND)

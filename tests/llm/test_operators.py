@@ -467,6 +467,49 @@ def test_license_scan(spark, docs, empty):
     assert licenses.license_scan(docs).count() == 0 and licenses.license_scan(empty).count() == 0
 
 
+def test_inserted_words_and_the_whole_scan_by_brute_force(spark):
+    rng = random.Random(6)
+    index, texts, planted = licenses.Index(), [], []
+    filler = lambda n: ["".join(rng.choice("qxzjk") for _ in range(5)) for _ in range(n)]
+    for name, text in licenses.TEMPLATES:
+        w = text.split()
+        n = len(licenses._WORD.findall(text))
+        for extra in range(31):
+            if extra <= max(3, n // 2) and (not extra or n >= 10):  # a run of K + W - 1 words is left
+                at = rng.randrange(len(w) + 1)
+                texts.append(" ".join([*filler(rng.randrange(30)), *w[:at], *filler(extra), *w[at:], *filler(rng.randrange(30))]))
+                planted.append((name, extra))
+    long_one = max(licenses.TEMPLATES, key=lambda t: len(t[1]))
+    texts += [" ".join([*filler(20_000), long_one[1], *filler(20_000), long_one[1]]), None, "", "the software is provided", " ".join(filler(500))]
+    planted += [(long_one[0], 0)] + [None] * 4
+    ids = [(1 << 53) + 2 * i + 1 for i in range(len(texts) - 1)] + [None]
+    d = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)] + [(ids[0], texts[0], "x")], "doc_id long, text string, license string").repartition(3)
+    got = licenses.license_scan(d).collect()
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    for i, t, p in zip(ids, texts, planted):
+        if p:
+            assert any(r["license"] == p[0] and r["coverage"] == 1 for r in by_id[i]), p
+        else:
+            assert i not in by_id
+    assert {r["n_spans"] for r in by_id[ids[-5]] if r["license"] == long_one[0]} == {2}
+    assert len(by_id[ids[0]]) == 2 * len({r["license"] for r in by_id[ids[0]]})
+    # every licence found is covered as said, and none is missed: each template against every place, by plain alignment
+    for i, t in list(zip(ids, texts))[::25]:
+        w = [x.lower() for x in licenses._WORD.findall(t or "")]
+        if len(w) < 600:
+            want = {}
+            for name, text in licenses.TEMPLATES:
+                own = [x.lower() for x in licenses._WORD.findall(text)]
+                room = licenses.band_of(len(own))
+                if any(own[p : p + 5] == w[q : q + 5] for p in range(max(1, len(own) - 4)) for q in range(len(w))):
+                    best = max(lcs(own, w[max(0, s - room) : s + len(own) + room]) for s in range(len(w)))
+                    want[name] = max(want.get(name, 0), best / len(own))
+            for name, cover in {r["license"]: r["coverage"] for r in by_id.get(i, [])}.items():
+                assert want.get(name, 0) >= cover - 1e-9
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
