@@ -10,7 +10,8 @@ starts half a band further, so words put in may move a notice by up to half its
 found whole, if K + W - 1 of its words stand together.
 
 The templates are a bounded list that travels with the code. Defined cases: a null or empty text has no match;
-two notices of one licence are two spans; of overlapping spans of one licence the better covered stays; rows of one
+two notices of one licence are two spans; of overlapping spans the one with the most matched words stays, then the better
+covered one, so that a notice isn't also taken for that of a sister licence; rows of one
 id are scanned one by one, a null id stays null; templates shorter than a gram are refused; an empty table gives an
 empty result.
 """
@@ -88,7 +89,7 @@ class Index:
             return []
         marks = list(_WORD.finditer(text))
         ids = self.ids([m[0].lower() for m in marks])
-        found: dict[str, list[tuple[float, int, int, int]]] = {}
+        found: list[tuple[int, float, int, int, str]] = []
         last: dict[int, int] = {}
         for t, start in self.hits(ids):  # by template, then by diagonal
             band = band_of(len(self.templates[t]))
@@ -98,14 +99,11 @@ class Index:
             matched, lo, hi = aligned(ids, self.templates[t], start, band)
             cover = matched / len(self.templates[t])
             if cover >= COVERAGE:
-                found.setdefault(self.names[t], []).append((cover, matched, marks[lo].start(), marks[hi].end()))
-        out = []
-        for name, spans in found.items():
-            taken: list[tuple[int, int]] = []
-            for cover, matched, lo, hi in sorted(spans, key=lambda s: (-s[1], -s[0], s[2])):
-                if all(hi <= a or lo >= b for a, b in taken):
-                    taken.append((lo, hi))
-                    out.append((name, cover, matched, lo, hi))
+                found.append((matched, cover, marks[lo].start(), marks[hi].end(), self.names[t]))
+        out: list[tuple[str, float, int, int, int]] = []
+        for matched, cover, lo, hi, name in sorted(found, key=lambda s: (-s[0], -s[1], s[2], s[4])):
+            if all(hi <= r[3] or lo >= r[4] for r in out):
+                out.append((name, cover, matched, lo, hi))
         return sorted(out, key=lambda r: (r[3], r[0]))
 
 
