@@ -41,7 +41,7 @@ from strandlog.llm.shared import arrow, batch, checked_broadcast, forget, give_b
 
 MU = 50.0
 #: Text of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Counts that a bucket gets, about.
 BUCKET_ENTRIES = 500_000
 WORD, GRAM = 0, 1
@@ -57,6 +57,16 @@ SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Small numbers as bytes: those of one weight together, compressed. Most counts are 1, so they take next to nothing."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u8").view("u1").reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(8, n).T).view("<i8").ravel()
+
+
 def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, each token's place among them, and the number of tokens of each text."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -74,7 +84,7 @@ def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens, n_part = gathered(words.indices.to_numpy(), n_inner, parts.indices.to_numpy().astype(np.int64))
     n = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=n_part, minlength=len(sizes)).astype(np.int32)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-    return hashes, tokens.astype("<u4"), n
+    return hashes, tokens, n
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -86,8 +96,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         def made() -> pa.RecordBatch:
             ids, texts, good = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
             words, tokens, n = tokenized(texts)
-            planes = np.ascontiguousarray(tokens.view("u1").reshape(-1, 4).T)  # bytes of one weight together pack better
-            return batch(_CHUNKS, [number], [ids.to_pylist()], [good.to_pylist()], [n], [words.tobytes()], [planes.tobytes()])
+            return batch(_CHUNKS, [number], [ids.to_pylist()], [good.to_pylist()], [n], [words.tobytes()], [packed(tokens)])
 
         for b in batches:
             held.append(b)
@@ -109,7 +118,7 @@ class Chunk:
         self.good = np.array(row["good"], bool)
         words = np.frombuffer(row["words"], np.uint64)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.word = np.frombuffer(row["tokens"], "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+        self.word = unpacked(row["tokens"], int(self.n.sum()))
         self.starts = np.zeros(len(self.word), bool)
         self.starts[(np.cumsum(self.n) - self.n)[self.n > 0]] = True
         self.history = np.concatenate([[0], self.word[:-1]])  # where a text doesn't start
@@ -130,11 +139,11 @@ class Chunk:
         good = self.good[self.doc]
         for kind, keys in self.keys.items():
             order, code = self.order[kind], self.of(kind)
-            n, n_good = (np.bincount(c, minlength=len(keys)).astype("<u4")[order] for c in (code, code[good]))
+            n, n_good = (np.bincount(c, minlength=len(keys))[order] for c in (code, code[good]))
             bucket, keys = self.bucket[kind][order], keys[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                yield kind, int(bucket[lo]), keys[lo:hi].tobytes(), n[lo:hi].tobytes(), n_good[lo:hi].tobytes()
+                yield kind, int(bucket[lo]), keys[lo:hi].tobytes(), packed(n[lo:hi]), packed(n_good[lo:hi])
 
     def own(self, kind: int) -> np.ndarray:
         """For each token: how often its document has its word or bigram."""
@@ -159,18 +168,16 @@ def totals(sent: DataFrame) -> DataFrame:
     """The totals of each block's keys, in their order; `distinct` is a bucket's number of keys, on one of its rows."""
 
     def add_up(table: pa.Table) -> pa.Table:
-        sizes = pc.divide(pc.binary_length(table["n"]), 4).to_numpy()
+        sizes = [len(x) // 8 for x in table["hashes"].to_pylist()]
         keys = pa.array(np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)).dictionary_encode()
-        code = keys.indices.to_numpy()
-        out = []
+        code, cuts, out = keys.indices.to_numpy(), np.cumsum(sizes)[:-1], []
         for c in ("n", "n_good"):
-            given = np.frombuffer(b"".join(table[c].to_pylist()), "<u4")
-            out.append(np.bincount(code, weights=given, minlength=len(keys.dictionary)).astype("<i8")[code])
-        cuts = np.cumsum(sizes)[:-1]
-        n, n_good = ([x.tobytes() for x in np.split(o, cuts)] for o in out)
+            given = np.concatenate([unpacked(x, n) for x, n in zip(table[c].to_pylist(), sizes, strict=True)])
+            total = np.bincount(code, weights=given, minlength=len(keys.dictionary)).astype(np.int64)
+            out.append([packed(x) for x in np.split(total[code], cuts)])
         distinct = [len(keys.dictionary)] + [0] * (len(sizes) - 1)
         give_back()
-        return pa.table([table["kind"], table["bucket"], table["chunk"], pa.array(distinct, pa.int64()), pa.array(n, pa.binary()), pa.array(n_good, pa.binary())], schema=_TOTALS)
+        return pa.table([table["kind"], table["bucket"], table["chunk"], pa.array(distinct, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], schema=_TOTALS)
 
     return sent.groupBy("kind", "bucket").applyInArrow(add_up, TOTALS)
 
@@ -204,9 +211,11 @@ def scored(chunked: DataFrame, found: DataFrame, n_buckets: int, corpus: dict[st
             counts = {x: {} for x in ("n", "n_good")}
             for kind in (WORD, GRAM):
                 own = right.filter(pc.equal(right["kind"], kind)).sort_by("bucket")
+                sizes = np.bincount(c.bucket[kind], minlength=n_buckets)[own["bucket"].to_numpy()].tolist()
                 for x in counts:
                     counts[x][kind] = np.empty(len(c.keys[kind]), np.int64)
-                    counts[x][kind][c.order[kind]] = np.frombuffer(b"".join(own[x].to_pylist()), "<i8")
+                    if sizes:
+                        counts[x][kind][c.order[kind]] = np.concatenate([unpacked(d, n) for d, n in zip(own[x].to_pylist(), sizes, strict=True)])
             target, background = losses(c, counts["n"], counts["n_good"], corpus)
             n = np.where(c.n, c.n, 1)
             means = [np.bincount(c.doc, weights=x, minlength=len(c.n)) / n for x in (target, background, target - background)]
