@@ -2,11 +2,12 @@
 
 The nested field paths of a record, sorted and hashed, are its fingerprint. A registry maps fingerprints to
 declarative mappings, so records of prompt, instruction, message and turn layouts all become canonical turns
-(role, text). Turns are written with a template whose control strings cannot stand inside a text: there, each
+(role, text). A fingerprint that isn't registered is looked up once: it gets the layout of which it has all paths (an
+empty list or null stands for all paths below it) and which has the most of them; further paths don't matter. Turns are written with a template whose control strings cannot stand inside a text: there, each
 control string gets a backslash after its first character (one more if it has some), which reading takes away.
 The loss mask covers the texts of assistant turns.
 
-Defined cases: null texts and roles are empty; a record of an unknown layout raises ValueError with its paths, or
+Defined cases: null texts and roles are empty; an empty list has no turns; a record of an unknown layout raises ValueError with its paths, or
 is left out with strict=False; turns of one number stand in order of role, then text; repeated rows are repeated
 turns; an empty table gives an empty result; further columns are not read.
 """
@@ -18,10 +19,11 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strandlog.llm.shared import arrow, batch
 
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[TURN]", "[/TURN]")
 _TAILS = "|".join(re.escape(c[1:]) for c in CONTROLS)
@@ -35,10 +37,11 @@ LOSS = "assistant"
 # ---- layouts -------------------------------------------------------------------------------------------------
 
 #: Mappings by layout. turns: a list to walk, with the paths of role and text in it; or fixed (role, path) pairs,
-#: of which absent or empty ones are left out. roles: other names of the canonical roles.
+#: a system turn that is absent or empty being left out; key and order: where a record has its conversation and its turn.
+#: ROLES: other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant", "chatgpt": "assistant"}
 LAYOUTS: dict[str, tuple[dict, tuple[str, ...]]] = {
-    "turn-row": ({"fixed": [("$role", "text")]}, ("conv_id", "role", "text", "turn")),
+    "turn-row": ({"fixed": [("$role", "text")], "key": "conv_id", "order": "turn"}, ("conv_id", "role", "text", "turn")),
     "messages": ({"list": "messages", "role": "role", "text": "content"}, ("messages[].content", "messages[].role")),
     "message-texts": ({"list": "messages", "role": "role", "text": "text"}, ("messages[].role", "messages[].text")),
     "message-parts": ({"list": "messages", "role": "role", "text": "content[].text"}, ("messages[].content[].text", "messages[].content[].type", "messages[].role")),
@@ -47,7 +50,7 @@ LAYOUTS: dict[str, tuple[dict, tuple[str, ...]]] = {
     "instruction-input": ({"fixed": [("user", ("instruction", "input")), ("assistant", "output")]}, ("input", "instruction", "output")),
     "instruction-response": ({"fixed": [("user", ("instruction", "context")), ("assistant", "response")]}, ("context", "instruction", "response")),
     "prompt-completion": ({"fixed": [("user", "prompt"), ("assistant", "completion")]}, ("completion", "prompt")),
-    "prompt-response": ({"fixed": [("system", "system"), ("user", "prompt"), ("assistant", "response")]}, ("prompt", "response", "system")),
+    "prompt-response": ({"fixed": [("system", "system"), ("user", "prompt"), ("assistant", "response")]}, ("prompt", "response")),
     "question-answer": ({"fixed": [("user", "question"), ("assistant", "answer")]}, ("answer", "question")),
     "nested-pair": ({"fixed": [("user", "prompt.text"), ("assistant", "response.text")]}, ("prompt.text", "response.text")),
 }
@@ -62,28 +65,29 @@ def paths_of(record, at: str = "") -> set[str]:
     return {at}
 
 
-def paths_of_schema(kind: T.DataType, at: str = "") -> set[str]:
-    """The same for a DataFrame's schema, so typed tables need one fingerprint only."""
-    if isinstance(kind, T.StructType):
-        return set().union(*(paths_of_schema(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields))
-    if isinstance(kind, T.ArrayType):
-        return paths_of_schema(kind.elementType, f"{at}[]")
-    return {at}
-
-
 def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-REGISTRY = {fingerprint(paths): (name, mapping) for name, (mapping, paths) in LAYOUTS.items()}
+REGISTRY = {fingerprint(paths): (name, mapping, frozenset(paths)) for name, (mapping, paths) in LAYOUTS.items()}
 
 
 def register(name: str, mapping: dict, paths) -> str:
     """Add a layout; returns its fingerprint."""
-    REGISTRY[fp := fingerprint(paths)] = (name, mapping)
+    REGISTRY[fp := fingerprint(paths)] = (name, mapping, frozenset(paths))
     return fp
 
 
+def layout_of(paths: set[str], registry: dict) -> tuple[str, dict, frozenset] | None:
+    """The layout for a record's paths; registry keeps what it finds under the paths' fingerprint."""
+    fp = fingerprint(paths)
+    if fp not in registry:
+        has = lambda p: any(p == q or p.startswith((f"{q}.", f"{q}[]")) or (q.endswith("[]") and p.startswith(q)) for q in paths)
+        fits = [x for x in registry.values() if x and all(map(has, x[2]))]
+        registry[fp] = max(fits, key=lambda x: (len(x[2] & paths), len(x[2]), x[0]), default=None)
+    return registry[fp]
+
+
 def pick(record, path: str) -> str:
     """The text at a path; the parts of a list are joined."""
     if path == "":
@@ -111,36 +115,47 @@ def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
     return out
 
 
+_TURNS = pa.schema([("id", pa.string()), ("layout", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+
+
 def turns_of_records(df: DataFrame, record: str = "record", key: str = "id", strict: bool = True) -> DataFrame:
-    """JSON records of any registered layouts: (id, layout, turn, role, text), one row per turn."""
-    registry = dict(REGISTRY)
+    """JSON records of any registered layouts: (id, layout, turn, role, text), one row per turn. The id is the record's own
+    where its layout has one."""
+    given = dict(REGISTRY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        registry = dict(given)
         for b in batches:
             rows = []
-            for k, raw in zip(b["id"], b["record"], strict=True):
-                value = json.loads(raw) if isinstance(raw, str) and raw else {}
+            for k, raw in zip(b.column("id").to_pylist(), b.column("record").to_pylist(), strict=True):
+                value = json.loads(raw) if raw else {}
                 paths = paths_of(value)
-                found = registry.get(fingerprint(paths))
+                found = layout_of(paths, registry)
                 if found is None:
                     if strict:
                         raise ValueError(f"no mapping for the field paths {sorted(paths)}")
                     continue
-                rows += [(k, found[0], i, r, t) for i, (r, t) in enumerate(canonical_turns(value, found[1]))]
-            yield pd.DataFrame(rows, columns=["id", "layout", "turn", "role", "text"])
+                name, mapping, _ = found
+                if "key" in mapping:
+                    k = value.get(mapping["key"])
+                for i, (r, t) in enumerate(canonical_turns(value, mapping)):
+                    rows.append((None if k is None else str(k), name, value.get(mapping["order"]) if "order" in mapping else i, r, t))
+            if rows:
+                yield batch(_TURNS, *zip(*rows, strict=True))
+
+    return arrow(df.select(F.col(key).cast("string").alias("id"), F.col(record).alias("record")), run, "id string, layout string, turn long, role string, text string")
+
 
-    return df.select(F.col(key).cast("string").alias("id"), F.col(record).alias("record")).mapInPandas(run, "id string, layout string, turn int, role string, text string")
+def records_of_rows(df: DataFrame) -> DataFrame:
+    """A typed table's rows as JSON records (id, record), nulls kept, of the columns that some layout names."""
+    known = {p.split(".")[0].split("[")[0] for _, _, paths in REGISTRY.values() for p in paths}
+    wanted = [c for c in df.columns if c in known]
+    return df.select(F.lit(None).cast("string").alias("id"), F.to_json(F.struct(*wanted), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def turn_rows(df: DataFrame) -> DataFrame:
-    """A typed table of turns: its schema's fingerprint selects the mapping, which becomes column expressions."""
-    wanted = [c for c in ("conv_id", "turn", "role", "text") if c in df.columns]  # further columns don't count
-    paths = paths_of_schema(df.select(*wanted).schema)
-    if fingerprint(paths) not in REGISTRY:
-        raise ValueError(f"no mapping for the field paths {sorted(paths)}")
-    ((who, path),) = REGISTRY[fingerprint(paths)][1]["fixed"]
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text(who[1:]).alias("role"), text(path).alias("text"))
+def conversations(records: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) of records whose ids are numbers."""
+    return turns_of_records(records).select(F.col("id").cast("long").alias("conv_id"), "turn", "role", "text")
 
 
 # ---- template ------------------------------------------------------------------------------------------------
@@ -188,12 +203,13 @@ def read_back(formatted_text: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_DIGEST = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in DIGEST.split(", ")])
 
 
 def digests(pieces: DataFrame) -> DataFrame:
     """Read formatted conversations back: one row each. Rows of a conversation stream by in order, so its length is no matter."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now = None, None
 
         def close():
@@ -201,8 +217,7 @@ def digests(pieces: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
-            for k, piece in zip(b["conv_id"], b["piece"], strict=True):
-                k = None if pd.isna(k) else int(k)
+            for k, piece in zip(b.column("conv_id").to_pylist(), b.column("piece").to_pylist(), strict=True):
                 if now is None or k != key:
                     if now is not None:
                         rows.append(close())
@@ -214,10 +229,10 @@ def digests(pieces: DataFrame) -> DataFrame:
                         now[2] += len(text)
                         now[3].update(text.encode())
                 now[4] += len(piece)
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"conv_id": "Int64"})
+            if rows:
+                yield batch(_DIGEST, *zip(*rows, strict=True))
         if now is not None:
-            yield pd.DataFrame([close()], columns=COLUMNS).astype({"conv_id": "Int64"})
+            yield batch(_DIGEST, *([x] for x in close()))
 
-    COLUMNS = [x.split()[0] for x in DIGEST.split(", ")]
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "piece").mapInPandas(run, DIGEST)
+    return arrow(ordered.select("conv_id", "piece"), run, DIGEST)

@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v): one row (id, root) for every vertex of an edge; root is the least id of its component."""
+    """edges (u, v): one row (id, root) for every vertex of an edge, as a written table; root is the least id of its component."""
     now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(MOST_STEPS):
         if now.isEmpty():
@@ -39,4 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components not found in {MOST_STEPS} steps")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    out = written(now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()), "roots")
+    forget(now)
+    return out

@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, k: int = S.K, percent: int = PERCENT, loose
     # rows of one id with several sets are one vertex: their classes are linked
     same = ids.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("hi")).where("v != hi")
     same = ids.join(same, "doc_id").where("id != v").select(F.col("id").alias("u"), "v")
-    roots = written(components(links.union(same)), "roots")
+    roots = components(links.union(same))
 
     # what may still join components
     rooted = lambda df, on, out: df.join(roots.select(F.col("id").alias(on), F.col("root").alias(out)), on, "left").withColumn(out, F.coalesce(out, on))
@@ -210,17 +210,23 @@ def near_duplicates(docs: DataFrame, k: int = S.K, percent: int = PERCENT, loose
     tested = best.select("a", "b")
     rest = open_pairs.join(tested, ["a", "b"], "left_anti")
     rest = written(rest.select("u", "v", "du", "dv"), "rest")
+    done = [likely, links, rest, members]
     large = rooted(members.where(F.col("size") > SMALL).select("key", "band", "class", "size").join(classes.select("class", "id", "digest"), "class"), "id", "root")
     several = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     open_members = written(large.join(several, "key", "left_semi"), "open")
+    done.append(open_members)
     if not open_members.isEmpty():
         ids_left = open_members.select("class", "id", "digest").distinct()
         small_sets = written(cut_sets(sets(docs, ids_left, k)).join(ids_left.select("class", "digest"), "digest").select("class", "words"), "cut-sets")
         rest = written(rest.union(crossing(open_members, classes, small_sets, loose, percent)).distinct(), "rest")
+        done += [small_sets, rest]
     if not rest.isEmpty():
         more = verified(rest, docs, k, percent)
         joined = more.select(*(F.col(c) for c in ("u", "v"))).union(roots.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-        roots = written(components(joined), "roots")
+        done += [more, roots]
+        roots = components(joined)
+    for table in done:
+        forget(table)
 
     # copies take the component of their class's least id
     root_of = rooted(ids, "id", "root").groupBy("doc_id").agg(F.min("root").alias("component_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    turns = chat.turn_rows(table(spark, sf_dir, "conversations")).unionByName(chat.turn_rows(extra))
-    return chat.digests(chat.formatted(turns))
+    extra = {"messages": [{"role": r, "content": CONTROL_TEXT} for r in ("user", "assistant")]}
+    records = chat.records_of_rows(table(spark, sf_dir, "conversations")).union(spark.createDataFrame([("-1", json.dumps(extra))], "id string, record string"))
+    return chat.digests(chat.formatted(chat.conversations(records)))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- stages of the pipeline ----------------------------------------------------------------------------------
+# Each takes the columns of documents, in any number, and all but the last return them as they were. Null and empty texts
+# fail the quality rules; rows without an id are no near duplicates of anything and stay; of rows of one id that are all
+# kept as that group's least, one stays; an empty table gives an empty one. tests/llm/test_pipeline.py holds them.
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

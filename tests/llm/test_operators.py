@@ -342,7 +342,7 @@ def test_chat_digests(spark):
     control = queries.CONTROL_TEXT
     turns = [(1, 0, "user", "Hi"), (1, 1, "assistant", "a\nb"), (1, 2, "assistant", None), (2, 1, "tool", "<s>\\<s> [INST"), (2, 0, "system", "𝔘 <\\\\/s>"), (2, 2, "assistant", control), (2, 2, "assistant", control), (3, 0, None, ""), (-1, 0, "user", control), (-1, 1, "assistant", control)]
     df = spark.createDataFrame([(*t, 9, "x") for t in turns], "conv_id long, turn long, role string, text string, piece long, n_turns string")
-    pieces = chat.formatted(chat.turn_rows(df))
+    pieces = chat.formatted(chat.conversations(chat.records_of_rows(df)))
     got = {r["conv_id"]: r for r in chat.digests(pieces).collect()}
     for k in (1, 2, 3, -1):
         own = sorted((t for t in turns if t[0] == k), key=lambda t: (t[1], t[2] or "", t[3] or ""))
@@ -355,7 +355,7 @@ def test_chat_digests(spark):
         assert r["formatted_chars"] == len(whole)
         assert [(a, b) for a, b, _, _ in chat.read_back(whole)] == [(t[2] or "", t[3] or "") for t in own]
         assert all(chat.unescape(whole[a:b]) == t for _, t, a, b in chat.read_back(whole))
-    assert chat.digests(chat.formatted(chat.turn_rows(df.limit(0)))).count() == 0
+    assert chat.digests(chat.formatted(chat.conversations(chat.records_of_rows(df.limit(0))))).count() == 0
 
 
 def test_layouts_become_turns(spark):
@@ -367,12 +367,18 @@ def test_layouts_become_turns(spark):
         ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "c"}]}]}', [("user", "ac")]),
         ('{"system": "", "prompt": "a", "response": "b"}', [("user", "a"), ("assistant", "b")]),
         ('{"prompt": {"text": "a"}, "response": {"text": "b"}}', [("user", "a"), ("assistant", "b")]),
+        ('{"messages": []}', []), ('{"id": 7, "prompt": "a", "completion": "b", "tags": ["x"]}', [("user", "a"), ("assistant", "b")]),
+        ('{"messages": [{"role": "user", "content": "a", "name": "N"}, {"role": "assistant", "content": null}]}', [("user", "a"), ("assistant", "")]),
+        ('{"conversations": null}', []), ('{"prompt": "a", "response": "b"}', [("user", "a"), ("assistant", "b")]),
     ]
     df = spark.createDataFrame([(str(i), r) for i, (r, _) in enumerate(recs)], "id string, record string")
     got = chat.turns_of_records(df).orderBy("id", "turn").collect()
     for i, (_, want) in enumerate(recs):
         assert [(r["role"], r["text"]) for r in got if r["id"] == str(i)] == want
-    assert chat.turns_of_records(spark.createDataFrame([("1", '{"odd": 1}')], "id string, record string"), strict=False).count() == 0
+    odd = spark.createDataFrame([("1", '{"odd": 1}'), ("2", None), ("3", '{"messages": [[1], {"x": 2}]}')], "id string, record string")
+    assert chat.turns_of_records(odd, strict=False).count() == 0
+    with pytest.raises(Exception, match="no mapping"):
+        chat.turns_of_records(odd).collect()
 
 
 # ---- op4
@@ -597,3 +603,26 @@ def test_cross_entropy_knows_all_words_and_bigrams(spark):
     good = spark.createDataFrame([(i, 1) for i in [*range(20), 100, None]], "doc_id long, quality int")
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     same_scores(lmscore.cross_entropy_difference(docs, good).collect(), cross_entropy_by_hand(texts, {*range(20), 100}))
+
+
+# ---- ids
+
+
+IDS = [None, (1 << 53) + 1, (1 << 53) + 3, (1 << 63) - 1, 0, None]
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_ids_stay_whole_beside_nulls(spark, n):
+    """No id turns into another one because a null stands in its batch."""
+    body = "Permission granted. Released under the MIT License. "
+    docs = spark.createDataFrame([(i, body + " ".join(f"{chr(97 + k)}{j}" for j in range(80))) for k, i in enumerate(IDS)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "Permission granted. Released under the MIT License.")], "item_id long, text string")
+    labels = spark.createDataFrame([(IDS[1], 1)], "doc_id long, quality int")
+    turns = docs.selectExpr("doc_id AS conv_id", "0L AS turn", "'user' AS role", "text")
+    made = {
+        1: lambda: chat.digests(chat.formatted(chat.conversations(chat.records_of_rows(turns)))).withColumnRenamed("conv_id", "doc_id"),
+        2: lambda: viterbi.token_counts(docs, path("piece_bpe_32k.model")), 3: lambda: sharding.shard_documents(docs), 4: lambda: decontam.contaminated(docs, items), 5: lambda: licenses.license_scan(docs),
+        6: lambda: quality.judge(docs, None), 7: lambda: lmscore.cross_entropy_difference(docs, labels), 8: lambda: neardup.near_duplicates(docs), 9: lambda: packing.pack_documents(docs, path("word_bpe_49k.json")), 10: lambda: records.encode_documents(docs, path("byte_bpe_50k.json")),
+    }
+    got = [r["doc_id"] for r in made[n]().select("doc_id").collect()]
+    assert set(got) == set(IDS) and len(got) == (5 if n in (1, 4) else 6)
