@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 # Prefixes and IDs that the format prescribes.
 RELATION_ENTITY_PREFIX = "grc20:relation-entity:"
+GENESIS_PREFIX = "grc20:genesis:"
 LANGUAGE_PREFIX = "grc20:genesis:language:"
 DATA_TYPE_PREFIX = "grc20:genesis:datatype:"
 NAME = "a126ca530c8e48d5b88882c734c38935"
@@ -59,6 +60,11 @@ def language_id(tag):
     return derived_uuid(F.concat(F.lit(LANGUAGE_PREFIX), F.lower(tag)))
 
 
+def genesis_id(name):
+    """Derived ID of a well-known name, as Name or Person; case counts."""
+    return derived_uuid(F.concat(F.lit(GENESIS_PREFIX), name))
+
+
 def data_type_id(name):
     return derived_uuid(F.concat(F.lit(DATA_TYPE_PREFIX), F.lower(name)))
 

@@ -36,6 +36,12 @@ def midpoint(low: str, high: str = "zzzz") -> str:
     raise ValueError("no position of 64 characters fits; reorder explicitly")
 
 
+@F.pandas_udf(T.StringType())
+def midpoints(low: pd.Series, high: pd.Series) -> pd.Series:
+    """midpoint() of columns; null beside a null."""
+    return pd.Series([None if a is None or b is None else midpoint(a, b) for a, b in zip(low, high, strict=True)], dtype=object)
+
+
 def bytes_for_dims(sub_type, dims):
     return F.when(sub_type == 0, dims * 4).when(sub_type == 1, dims).when(sub_type == 2, F.ceil(dims / 8).cast("int"))
 
@@ -78,7 +84,7 @@ def value_error(v):
         .when((t == 8) & ~(v["time"]["offset_min"].between(-1440, 1440) & v["time"]["time_us"].between(0, 86_399_999_999)), bad)
         .when((t == 9) & ~v["datetime"]["offset_min"].between(-1440, 1440), bad)
         .when((t == 11) & ~point_valid(v["point"]["lat"], v["point"]["lon"]), bad)
-        .when((t == 12) & ~(point_valid(v["rect"]["min_lat"], v["rect"]["min_lon"]) & point_valid(v["rect"]["max_lat"], v["rect"]["max_lon"]) & (v["rect"]["min_lat"] <= v["rect"]["max_lat"])), bad)
+        .when((t == 12) & ~(point_valid(v["rect"]["min_lat"], v["rect"]["min_lon"]) & point_valid(v["rect"]["max_lat"], v["rect"]["max_lon"])), bad)
         .when((t == 13) & (F.octet_length(v["embedding"]["data"]) != bytes_for_dims(v["embedding"]["sub_type"], v["embedding"]["dims"])), bad)
     )
 

@@ -3,7 +3,8 @@
 Input is a DataFrame of ops: space, ord (a struct that orders ops), op_type, id, and as needed set, unset, relation,
 unset_fields, value_ref. Sequential replay factorises: whether an op is accepted depends only on who owns its id and on
 the last delete or restore before it, so each step is one aggregate or window keyed by (space, id), and an as-of
-state is the same accepted ops cut at a position. Values are opaque here: any type of column will do.
+state is the same accepted ops cut at a position. A State reads the log twice, for the owners and for the accepted ops;
+both are written to the session's shared folder once, and every view is made from them. Values are opaque here: any type of column will do.
 
 A relation's explicit entity that is also claimed as a relation or value ref is not iterated to a fixpoint: the
 entity claim that comes later is ignored and flagged by `reified_conflicts`.
@@ -12,6 +13,7 @@ entity claim that comes later is ignored and flagged by `reified_conflicts`.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql.window import Window
 
 from strandlog import model as M
 from strandlog.functions.ids import LANGUAGE_PREFIX, relation_entity_id, uuid8
+from strandlog.plans.shared import written
 
 ENTITY, RELATION, VALUE_REF = "E", "R", "V"
 KEY = ["space", "id"]
@@ -28,14 +31,31 @@ def reified_id():
     return F.coalesce("relation.entity", relation_entity_id(F.col("id")))
 
 
+def direct_claims(ops: DataFrame) -> DataFrame:
+    """(space, id, kind, ord, late, reified): what creates claim an id as; a relation also names its reified entity."""
+    kind = F.when(F.col("op_type") == M.CREATE_ENTITY, ENTITY).when(F.col("op_type") == M.CREATE_RELATION, RELATION).otherwise(VALUE_REF)
+    reified = F.when(F.col("op_type") == M.CREATE_RELATION, reified_id())
+    return ops.where(F.col("op_type").isin(M.CREATE_ENTITY, M.CREATE_RELATION, M.CREATE_VALUE_REF)).select(*KEY, kind.alias("kind"), "ord", F.lit(0).alias("late"), reified.alias("reified"))
+
+
+def reified_claims(direct: DataFrame) -> DataFrame:
+    """The entity that each relation's winning create claims; late claims come after others of the same op."""
+    first = direct.groupBy(*KEY).agg(F.min_by(F.struct("kind", "reified"), "ord").alias("x"), F.min("ord").alias("ord"))
+    return first.where(F.col("x.kind") == RELATION).select("space", F.col("x.reified").alias("id"), F.lit(ENTITY).alias("kind"), "ord", F.lit(1).alias("late"))
+
+
 def claims(ops: DataFrame) -> DataFrame:
-    """(space, id, kind, ord, late): everything that claims an id; late claims come after others of the same op."""
-    kind = F.when(F.col("op_type") == M.CREATE_ENTITY, ENTITY).when(F.col("op_type") == M.CREATE_RELATION, RELATION).when(F.col("op_type") == M.CREATE_VALUE_REF, VALUE_REF)
-    direct = ops.where(F.col("op_type").isin(M.CREATE_ENTITY, M.CREATE_RELATION, M.CREATE_VALUE_REF)).select(*KEY, kind.alias("kind"), "ord", F.lit(0).alias("late"))
-    first = owners_of(direct).where(F.col("kind") == RELATION)
-    created = ops.where(F.col("op_type") == M.CREATE_RELATION).join(first.select(*KEY, F.col("created").alias("ord")), [*KEY, "ord"])
-    reified = created.select("space", reified_id().alias("id"), F.lit(ENTITY).alias("kind"), "ord", F.lit(1).alias("late"))
-    return direct.unionByName(reified)
+    """(space, id, kind, ord, late): everything that claims an id."""
+    direct = direct_claims(ops)
+    return direct.drop("reified").unionByName(reified_claims(direct))
+
+
+def owners(ops: DataFrame) -> DataFrame:
+    """owners_of(claims(ops)) from one pass over the log: each id's first claim first, then the reified ones."""
+    first = direct_claims(ops).groupBy(*KEY).agg(F.min_by(F.struct("kind", "reified"), "ord").alias("x"), F.min("ord").alias("ord"))
+    first = written(first.select(*KEY, "x.kind", "x.reified", "ord"))
+    late = first.where(F.col("kind") == RELATION).select("space", F.col("reified").alias("id"), F.lit(ENTITY).alias("kind"), "ord", F.lit(1).alias("late"))
+    return owners_of(first.select(*KEY, "kind", "ord", F.lit(0).alias("late")).unionByName(late))
 
 
 def owners_of(all_claims: DataFrame) -> DataFrame:
@@ -123,6 +143,52 @@ def value_refs(taken: DataFrame) -> DataFrame:
     return by_slot.groupBy("space", "ref_id").agg(F.max_by(F.struct("entity", "property", "language", "slot_space"), "ord").alias("x")).select("space", "ref_id", "x.*")
 
 
+def edit_ends(ops: DataFrame) -> DataFrame:
+    """(edit_id, upto): the last position of each edit. ops: edit_id and ord."""
+    return ops.where("edit_id IS NOT NULL").groupBy("edit_id").agg(F.max("ord").alias("upto"))
+
+
+def resolve_endpoints(state: State, relations: DataFrame, edits: DataFrame) -> DataFrame:
+    """What the ends of relations stand for: two rows a relation, (space, id, end, target, at_space, status, entity,
+    property, language, value).
+
+    An end is looked up in its space pin's space, else in the relation's. With a version pin, edits (edit_id, upto) says
+    up to where the log counts, the pinned edit included; of an unknown edit the status is UNKNOWN_VERSION. A value ref's
+    binding to a slot is the current one of that space; the slot's own space says where the value is read, and the
+    version pin as of when. Status is that of the entity (the slot's, for a value ref); a value shows only while it is
+    ACTIVE."""
+    space = relations.schema["space"].dataType
+
+    def end(name: str):
+        pin = lambda what: F.col(f"{name}_{what}")
+        return F.struct(F.lit(name).alias("end"), F.col(name).alias("target"), F.coalesce(F.col(f"{name}_is_value_ref"), F.lit(False)).alias("is_ref"), F.coalesce(pin("space").cast(space), F.col("space")).alias("at_space"), pin("version").alias("version"))
+
+    ends = relations.select(*KEY, F.explode(F.array(end("from"), end("to"))).alias("e")).select(*KEY, "e.*")
+    ends = ends.join(edits.select(F.col("edit_id").alias("version"), "upto"), "version", "left")
+    refs = state.value_refs.select(F.col("space").alias("at_space"), F.col("ref_id").alias("target"), F.lit(True).alias("is_ref"), "entity", "property", "language", F.col("slot_space").cast(space).alias("slot_space"))
+    ends = ends.join(refs, ["at_space", "target", "is_ref"], "left")
+    where = {"of_space": F.when(F.col("is_ref"), F.col("slot_space")).otherwise(F.col("at_space")), "of_id": F.when(F.col("is_ref"), F.col("entity")).otherwise(F.col("target"))}
+    ends = written(ends.withColumns(where))
+    row = [*KEY, "end"]
+    until = lambda c: F.col("upto").isNull() | (F.col(c) <= F.col("upto"))
+    ids = ends.select(*row, F.col("of_space").alias("s"), F.col("of_id").alias("i"), "upto")
+    known = state.objects.select(F.col("space").alias("s"), F.col("id").alias("i"), "created")
+    switches = state.accepted.where(F.col("op_type").isin(M.DELETE_ENTITY, M.RESTORE_ENTITY, M.DELETE_RELATION, M.RESTORE_RELATION)).select(F.col("space").alias("s"), F.col("id").alias("i"), "op_type", "ord")
+    there = ids.join(known, ["s", "i"]).where(until("created")).select(*row)
+    last = ids.join(switches, ["s", "i"]).where(until("ord")).groupBy(*row).agg(F.max_by("op_type", "ord").alias("last"))
+    events = slot_events(state.accepted).select(F.col("space").alias("s"), F.col("id").alias("i"), "property", F.col("language").alias("l"), "mode", "ord", "seq", "idx", F.col("value").alias("v"))
+    slots = ends.where("is_ref").select(*row, F.col("of_space").alias("s"), F.col("of_id").alias("i"), "property", "language", "upto")
+    mine = F.col("l").eqNullSafe(F.col("language")) & ~F.coalesce(F.col("mode") == M.UNSET_ALL, F.lit(False)) | (F.col("mode") == M.UNSET_ALL)
+    value = slots.join(events, ["s", "i", "property"]).where(until("ord") & mine).groupBy(*row).agg(F.max_by(F.struct("seq", "v"), F.struct("ord", "seq", "idx")).alias("x"))
+    out = ends.join(there.withColumn("there", F.lit(True)), row, "left").join(last, row, "left").join(value, row, "left")
+    status = (
+        F.when(F.col("version").isNotNull() & F.col("upto").isNull(), "UNKNOWN_VERSION").when(F.col("there").isNull(), "NOT_FOUND")
+        .when(F.col("last").isin(M.DELETE_ENTITY, M.DELETE_RELATION), "DELETED").otherwise("ACTIVE")
+    )
+    out = out.withColumn("status", status).withColumn("value", F.when((F.col("status") == "ACTIVE") & (F.col("x.seq") == 1), F.col("x.v")))
+    return out.select(*row, "target", "is_ref", "at_space", "version", "status", "entity", "property", "language", "value")
+
+
 def as_of(ops: DataFrame, last) -> DataFrame:
     """The log up to and including a position."""
     return ops.where(F.col("ord") <= last)
@@ -130,15 +196,25 @@ def as_of(ops: DataFrame, last) -> DataFrame:
 
 @dataclass
 class State:
-    """All resolved views of a log; each is lazy, so only what a query reads is computed."""
+    """All resolved views of a log; each is computed when it is first asked for."""
 
     ops: DataFrame
 
-    def __post_init__(self):
-        self.claims = claims(self.ops)
-        self.owners = owners_of(self.claims)
-        self.accepted = accepted(self.ops, self.owners)
-        self.objects = status(self.owners, self.accepted)
+    @cached_property
+    def claims(self) -> DataFrame:
+        return claims(self.ops)
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        return written(owners(self.ops))
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return written(accepted(self.ops, self.owners))
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        return status(self.owners, self.accepted)
 
     @property
     def entities(self) -> DataFrame:

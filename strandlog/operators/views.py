@@ -24,7 +24,7 @@ def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame, keep, most_steps: int = 50) -> DataFrame:
     """(start, id, steps): everything reached from the starts, by the frontier; each step only follows what is new.
-    keep cuts the lineage of a step, as by writing it to a shared folder."""
+    keep cuts the lineage of a step, as by writing it to a shared folder. RuntimeError if most_steps aren't enough."""
     frontier = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("steps")).distinct()
     seen = frontier
     step = edges.select(F.col("from").alias("id"), F.col("to").alias("next")).distinct()
@@ -34,6 +34,8 @@ def reachable(edges: DataFrame, starts: DataFrame, keep, most_steps: int = 50) -
         if frontier.isEmpty():
             break
         seen = keep(seen.unionByName(frontier))
+    else:
+        raise RuntimeError(f"there are paths of more than {most_steps} steps")
     return seen
 
 
@@ -69,12 +71,44 @@ def diff(before: DataFrame, after: DataFrame, key: list[str], payload: str) -> D
     return both.select(*(F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in key), "old", "new", change.alias("change")).where("change IS NOT NULL")
 
 
-def quads(values: DataFrame, relations: DataFrame) -> DataFrame:
-    """The logical view: property(e, v), type(from, to) and the reification of each relation, as rows (kind, s, p, o)."""
-    prop = values.select(F.lit("property").alias("kind"), F.col("id").alias("s"), F.col("property").alias("p"), F.sha2(F.to_json("value"), 256).alias("o"))
-    rel = relations.select(F.lit("relation").alias("kind"), F.col("from").alias("s"), F.col("type").alias("p"), F.lower(F.hex("to")).alias("o"))
-    reif = relations.select(F.lit("reifies").alias("kind"), F.col("entity").alias("s"), F.lit(None).cast("binary").alias("p"), F.lower(F.hex("id")).alias("o"))
-    return prop.unionByName(rel).unionByName(reif)
+def quads(values: DataFrame, relations: DataFrame, literal=None) -> DataFrame:
+    """The logical view as rows (space, kind, s, p, o): property(e, v) of each value; of each relation type(from, to), and
+    what its reified entity states: reifies, subject, predicate and object. o is hexadecimal for ids; literal gives the
+    text of a value, by default the hash of its JSON form."""
+    literal = F.sha2(F.to_json("value"), 256) if literal is None else literal
+    prop = values.select("space", F.lit("property").alias("kind"), F.col("id").alias("s"), F.col("property").alias("p"), literal.alias("o"))
+    said = lambda kind, s, p, o: F.struct(F.lit(kind).alias("kind"), F.col(s).alias("s"), (F.col(p) if p else F.lit(None).cast("binary")).alias("p"), F.lower(F.hex(o)).alias("o"))
+    rows = [said("relation", "from", "type", "to"), said("reifies", "entity", None, "id"), said("subject", "entity", None, "from"), said("predicate", "entity", None, "type"), said("object", "entity", None, "to")]
+    return prop.unionByName(relations.select("space", F.explode(F.array(*rows)).alias("x")).select("space", "x.*"))
+
+
+def context_groups(ops: DataFrame) -> DataFrame:
+    """Ops grouped by their context: (space, root_id, path, n_ops, n_entities); path is the list of the edges' types, and
+    entities are those that the edges lead to, or the root of an empty path. Ops without a context are in no group."""
+    c = ops.where("context IS NOT NULL").select("space", "context.root_id", F.transform("context.edges", lambda e: e["type_id"]).alias("path"), F.col("context.edges").alias("edges"))
+    leaf = F.coalesce(F.try_element_at("edges", F.lit(-1))["to_entity_id"], F.col("root_id"))
+    return c.groupBy("space", "root_id", "path").agg(F.count(F.lit(1)).alias("n_ops"), F.count_distinct(leaf).alias("n_entities"))
+
+
+def by_space(values: DataFrame, preferred: list) -> DataFrame:
+    """One value per slot over several spaces: that of the space which stands first in preferred, then of the least space."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, preferred)), F.col("space")), F.lit(0))
+    w = Window.partitionBy("id", "property", "language").orderBy(F.when(rank > 0, rank).otherwise(len(preferred) + 1), "space")
+    return values.withColumn("choice", F.row_number().over(w)).where("choice = 1").drop("choice")
+
+
+def numbered(rows: DataFrame, by: list, keep) -> DataFrame:
+    """Add `place`, the row's number in a total order, without bringing all rows to one task: rows are dealt by ranges,
+    each range is numbered, and ranges start where those before them end. keep as in reachable()."""
+    dealt = keep(rows.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
+    sizes = sorted((r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each range
+    before, starts = 0, []
+    for k, n in sizes:
+        starts.append((k, before))
+        before += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "__range int, __before long"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*by)) + F.col("__before")
+    return dealt.join(starts, "__range").withColumn("place", place.cast("long")).drop("__range", "__before")
 
 
 def nearest(vectors: DataFrame, query, k: int, similarity) -> DataFrame:

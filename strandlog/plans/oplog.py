@@ -22,8 +22,8 @@ def named(*parts):
     return derived_uuid(F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)))
 
 
-def order(block, op_index=None):
-    return F.struct(block.cast("long").alias("block"), F.lit(0).alias("tx"), F.lit(0).alias("log"), (F.lit(0) if op_index is None else op_index.cast("int")).alias("op_index"))
+def order(block, op_index=None, tx=0, log=0):
+    return F.struct(block.cast("long").alias("block"), F.lit(tx).alias("tx"), F.lit(log).alias("log"), (F.lit(0) if op_index is None else op_index.cast("int")).alias("op_index"))
 
 
 def put(prop, text=None, i64=None, language=None, unit=None):
@@ -69,9 +69,12 @@ def _frame(df: DataFrame, op_type: int, block, op_index, ident, relation=None, u
     )
 
 
-def _relation(kind=None, source=None, target=None, position=None, to_version=None):
+def _relation(kind=None, source=None, target=None, position=None, to_version=None, to_ref=None, entity=None, from_space=None, from_version=None, to_space=None):
     none = lambda x, t="binary": (F.lit(None) if x is None else x).cast(t)
-    return F.struct(none(kind).alias("type"), none(source).alias("from"), F.lit(False).alias("from_is_value_ref"), none(target).alias("to"), F.lit(False).alias("to_is_value_ref"), none(None).alias("entity"), none(position, "string").alias("position"), none(None).alias("from_space"), none(None).alias("from_version"), none(None).alias("to_space"), none(to_version).alias("to_version"))
+    return F.struct(
+        none(kind).alias("type"), none(source).alias("from"), F.lit(False).alias("from_is_value_ref"), none(target).alias("to"), (F.lit(False) if to_ref is None else to_ref).alias("to_is_value_ref"), none(entity).alias("entity"), none(position, "string").alias("position"),
+        none(from_space).alias("from_space"), none(from_version).alias("from_version"), none(to_space).alias("to_space"), none(to_version).alias("to_version"),
+    )
 
 
 def relation_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,3 +97,54 @@ def value_ref_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_ops(spark, sf_dir).unionByName(relation_ops(spark, sf_dir)).unionByName(value_ref_ops(spark, sf_dir))
+
+
+def pinned_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The users' log, value refs to their slots from views, and relations from orders whose ends have space and version
+    pins; and the edits (edit_id, ord): each event is one, of its op and its value ref."""
+    e, o = read(spark, sf_dir, "events"), read(spark, sf_dir, "orders")
+    n, k = F.col("event_id"), F.col("o_orderkey")
+    users = entity_ops(spark, sf_dir)
+    name, title, score = (named(f"property:{x}") for x in ("name", "title", "score"))
+    slot = F.struct(
+        named("user:", F.col("user_id")).alias("entity"), F.when(n % 3 == 0, name).when(n % 3 == 1, score).otherwise(title).alias("property"),
+        F.when((n % 3 == 2) & (n % 2 == 0), language_id(F.lit("de"))).alias("language"), F.when(n % 4 == 0, F.lit("side").cast("binary")).alias("space"),
+    )
+    refs = _frame(e.where("event_type = 'view'"), M.CREATE_VALUE_REF, n, F.lit(0), named("vref:", n % 60), value_ref=slot)
+    refs = refs.withColumns({"space": F.when(F.col("ord.block") % 5 == 0, "side").otherwise("main"), "ord": order(F.col("ord.block"), tx=1, log=2)})
+    ends = _relation(
+        named("relation:pins"), named("user:", k % 300), F.when(k % 2 == 1, named("vref:", k % 70)).otherwise(named("user:", (k * 7) % 300)), to_version=F.when(k % 7 < 3, named("edit:", k % 977)), to_ref=k % 2 == 1, entity=F.when(k % 11 == 0, named("statement:", k)),
+        from_space=F.when(k % 3 == 0, F.lit("side")), from_version=F.when(k % 5 == 0, named("edit:", k % 1000)), to_space=F.when(k % 6 < 2, F.lit("main")),
+    )
+    pins = _frame(o, M.CREATE_RELATION, k + 1_000_000_000, F.lit(0), named("pin:", k), ends).withColumn("space", F.when(F.col("ord.block") % 4 == 0, "side").otherwise("main"))
+    edits = users.unionByName(refs).select(named("edit:", F.col("ord.block")).alias("edit_id"), "ord")
+    return users.unionByName(refs).unionByName(pins), edits
+
+
+def value(**given):
+    """A value of the full schema; what isn't given is null."""
+    return F.struct(*((given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in _schema(M.VALUE).fields))
+
+
+def edit_ops(df: DataFrame, edit_id, op_index, op_type, ident, **given) -> DataFrame:
+    """Rows as ops of edits, of the full schema: edit_id and the columns of an op."""
+    cols = {"op_index": op_index, "op_type": op_type if not isinstance(op_type, int) else F.lit(op_type), "id": ident, **given}
+    return df.select(edit_id.alias("edit_id"), *((cols[f.name] if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name) for f in _schema(M.OP).fields))
+
+
+def _schema(ddl: str):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(ddl)
+
+
+def context_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as updates below a customer: two of three have a context, of one or two edges or of the root alone."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    edge = lambda kind, to: F.struct(kind.alias("type_id"), to.alias("to_entity_id"))
+    one = edge(named("relation:", F.col("o_orderpriority")), named("order:", k))
+    edges = F.when(k % 4 == 0, F.array().cast("array<struct<type_id: binary, to_entity_id: binary>>")).when(k % 4 == 1, F.array(one)).otherwise(F.array(one, edge(named("relation:clerk"), named("clerk:", k % 10))))
+    context = F.when(k % 3 != 0, F.struct(named("customer:", F.col("o_custkey")).alias("root_id"), edges.alias("edges")))
+    ops = edit_ops(o, named("edit:", F.floor(k / 1000)), k, M.UPDATE_ENTITY, named("order:", k), context=context)
+    return ops.withColumn("space", F.when(F.col("op_index") % 2 == 0, "main").otherwise("side"))

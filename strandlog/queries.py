@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandlog import model as M
 from strandlog.functions import ids as I
 from strandlog.functions import scalars as X
 from strandlog.functions import temporal as D
 from strandlog.operators import resolve as R
+from strandlog.operators import validate as K
 from strandlog.operators import views as V
 from strandlog.plans import oplog as L
 from strandlog.plans.shared import written
@@ -305,21 +307,22 @@ def two_hop(spark, d):
     return hexed(V.two_hop(*_geography(spark, d)), "a", "b", "c")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey%37 AS a, s_nationkey%37 AS b FROM supplier UNION SELECT DISTINCT n_nationkey%37, (n_nationkey*3+1)%37 FROM nation),
-r(s,x) AS (SELECT DISTINCT a, a FROM e WHERE a<5 UNION SELECT s, b FROM r JOIN e ON x=a) SELECT {sid("'node:'||s")} AS start, {sid("'node:'||x")} AS id FROM r""")
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'supplier:'||s_suppkey AS a, 'nation:'||s_nationkey AS b FROM supplier UNION SELECT 'nation:'||n_nationkey, 'region:'||n_regionkey FROM nation
+ UNION SELECT 'nation:'||n_nationkey, 'nation:'||(n_nationkey//2) FROM nation),
+r(s,x) AS (SELECT DISTINCT a, a FROM e UNION SELECT s, b FROM r JOIN e ON x=a) SELECT {sid("s")} AS start, {sid("x")} AS id FROM r""")
 def reachability(spark, d):
     s, n = L.read(spark, d, "supplier"), L.read(spark, d, "nation")
-    pairs = s.selectExpr("s_suppkey % 37 AS a", "s_nationkey % 37 AS b").union(n.selectExpr("n_nationkey % 37", "(n_nationkey * 3 + 1) % 37")).distinct()
-    edges = pairs.select(L.named("node:", F.col("a")).alias("from"), L.named("node:", F.col("b")).alias("to"))
-    starts = pairs.where("a < 5").select(L.named("node:", F.col("a")).alias("id")).distinct()
-    return hexed(V.reachable(edges, starts, written).select("start", "id"), "start", "id")
+    edge = lambda df, a, x, b, y: df.select(L.named(a, x).alias("from"), L.named(b, y).alias("to"))
+    key = F.col("n_nationkey")
+    edges = edge(s, "supplier:", F.col("s_suppkey"), "nation:", F.col("s_nationkey")).union(edge(n, "nation:", key, "region:", F.col("n_regionkey"))).union(edge(n, "nation:", key, "nation:", F.floor(key / 2))).distinct()
+    return hexed(V.reachable(edges, edges.select(F.col("from").alias("id")).distinct(), written).select("start", "id"), "start", "id")
 
 
 @query(f"WITH {_RELATIONS} SELECT {sid("'customer:'||c_custkey")} AS id, EXISTS (SELECT 1 FROM arel r WHERE r.o_custkey=c.c_custkey) AS related FROM customer c")
 def exists_semi_anti(spark, d):
     c = L.read(spark, d, "customer").select(L.named("customer:", F.col("c_custkey")).alias("id"))
     some = relation_state(spark, d).relations.select(F.col("from").alias("id")).distinct()
-    return hexed(c.join(some, "id", "left_semi").withColumn("related", F.lit(True)).union(c.join(some, "id", "left_anti").withColumn("related", F.lit(False))), "id")
+    return hexed(c.join(some.withColumn("related", F.lit(True)), "id", "left").withColumn("related", F.coalesce("related", F.lit(False))), "id")
 
 
 @query(f"SELECT {sid("'customer:'||c_custkey")} AS id FROM customer WHERE c_mktsegment='BUILDING'")
@@ -338,35 +341,64 @@ def reified_qualifiers(spark, d):
     return hexed(s.relations.select("space", "id", "entity").join(quals, ["space", "entity"]).select("id", "status_value", "price"), "id")
 
 
-@query(f"WITH {_RELATIONS} SELECT 'relation' AS kind, src AS s, type AS p, dst AS o FROM arel UNION ALL SELECT 'reifies', {sid("encode('" + I.RELATION_ENTITY_PREFIX + "')||unhex(id)")}, NULL, id FROM arel")
-def logical_quads(spark, d):
-    r = relation_state(spark, d).relations
-    none = L.entity_ops(spark, d).limit(0).select("space", "id", F.col("id").alias("property"), F.struct(F.lit(1).alias("x")).alias("value"))
-    return hexed(V.quads(none, r), "s", "p")
+_ENTITY_OF = sid("encode('" + I.RELATION_ENTITY_PREFIX + "')||unhex(id)")
 
 
-@query(f"WITH {_RELATIONS} SELECT r.id, r.to_version, (SELECT count(*) FROM rops x WHERE x.n<=r.created) AS ops_until_pin FROM arel r WHERE to_version IS NOT NULL")
+@query(f"""WITH {_EVENTS}, {_SLOTS}, {_RELATIONS} SELECT space, 'property' AS kind, id AS s, property AS p, coalesce(txt, i64::VARCHAR) AS o FROM live
+ UNION ALL SELECT 'main', 'relation', src, type, dst FROM arel UNION ALL SELECT 'main', 'reifies', {_ENTITY_OF}, NULL, id FROM arel
+ UNION ALL SELECT 'main', 'subject', {_ENTITY_OF}, NULL, src FROM arel UNION ALL SELECT 'main', 'predicate', {_ENTITY_OF}, NULL, type FROM arel UNION ALL SELECT 'main', 'object', {_ENTITY_OF}, NULL, dst FROM arel""")
+def logical_quads(spark, d):
+    state = R.State(L.entity_ops(spark, d).unionByName(L.relation_ops(spark, d)))
+    return hexed(V.quads(state.values, state.relations, F.coalesce("value.text", F.col("value.i64").cast("string"))), "s", "p")
+
+
+# ---- pins: what the ends of relations stand for -----------------------------------------------------------------
+
+_PINS = f"""{_EVENTS}, {_SLOTS},
+pin AS (SELECT o_orderkey AS k, {sid("'pin:'||o_orderkey")} AS id, CASE WHEN o_orderkey%4=0 THEN 'side' ELSE 'main' END AS space FROM orders),
+en AS (
+  SELECT k, id, space, 'from' AS "end", {sid("'user:'||(k%300)")} AS target, false AS is_ref, CASE WHEN k%3=0 THEN 'side' ELSE space END AS at_space, CASE WHEN k%5=0 THEN k%1000 END AS ver FROM pin
+  UNION ALL SELECT k, id, space, 'to', CASE WHEN k%2=1 THEN {sid("'vref:'||(k%70)")} ELSE {sid("'user:'||((k*7)%300)")} END, k%2=1, CASE WHEN k%6<2 THEN 'main' ELSE space END, CASE WHEN k%7<3 THEN k%977 END FROM pin),
+vr AS (SELECT event_id AS n, CASE WHEN event_id%5=0 THEN 'side' ELSE 'main' END AS space, {sid("'vref:'||(event_id%60)")} AS vid, {sid("'user:'||user_id")} AS entity,
+  CASE event_id%3 WHEN 0 THEN {prop("name")} WHEN 1 THEN {prop("score")} ELSE {prop("title")} END AS property, CASE WHEN event_id%3=2 AND event_id%2=0 THEN {lang("de")} END AS language,
+  CASE WHEN event_id%4=0 OR event_id%5=0 THEN 'side' ELSE 'main' END AS slot_space FROM events WHERE event_type='view'),
+win AS (SELECT space, entity, property, language, slot_space, arg_max(vid, n) AS vid, max(n) AS n FROM vr GROUP BY ALL),
+bind AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY space, vid ORDER BY n DESC)=1),
+att AS (SELECT en.*, b.entity, b.property, b.language, CASE WHEN is_ref THEN b.slot_space ELSE at_space END AS sp, CASE WHEN is_ref THEN b.entity ELSE target END AS ob,
+  ver IS NOT NULL AND e.event_id IS NULL AS unknown, coalesce(ver, 9000000000000) AS upto
+  FROM en LEFT JOIN bind b ON is_ref AND b.space=en.at_space AND b.vid=en.target LEFT JOIN events e ON e.event_id=en.ver),
+sw AS (SELECT a.id, a."end", arg_max(op, n) AS last FROM att a JOIN ok ON ok.space=a.sp AND ok.id=a.ob AND op IN (3,4) AND n<=upto GROUP BY ALL),
+va AS (SELECT a.id, a."end", max(n*2+seq) AS pos FROM att a JOIN ev ON ev.space=a.sp AND ev.id=a.ob AND ev.property=a.property AND n<=upto AND (mode=0 OR ev.language IS NOT DISTINCT FROM a.language) GROUP BY ALL),
+vl AS (SELECT a.id, a."end", max(CASE WHEN seq=1 THEN coalesce(txt, i64::VARCHAR) END) AS val FROM att a JOIN va ON va.id=a.id AND va."end"=a."end" JOIN ev ON ev.space=a.sp AND ev.id=a.ob AND ev.property=a.property AND n*2+seq=pos AND (mode=0 OR ev.language IS NOT DISTINCT FROM a.language) GROUP BY ALL),
+res AS (SELECT a.*, CASE WHEN unknown THEN 'UNKNOWN_VERSION' WHEN o.id IS NULL OR o.created>upto THEN 'NOT_FOUND' WHEN sw.last=3 THEN 'DELETED' ELSE 'ACTIVE' END AS status, vl.val
+  FROM att a LEFT JOIN own o ON o.space=a.sp AND o.id=a.ob LEFT JOIN sw ON sw.id=a.id AND sw."end"=a."end" LEFT JOIN vl ON vl.id=a.id AND vl."end"=a."end")"""
+
+
+def _endpoints(spark, d):
+    log, edits = L.pinned_log(spark, d)
+    state = R.State(log)
+    return R.resolve_endpoints(state, state.relations.where(F.col("type") == L.named("relation:pins")), R.edit_ends(edits))
+
+
+@query(f"""WITH {_PINS} SELECT id, "end", target, {sid("'edit:'||ver")} AS version, status FROM res WHERE ver IS NOT NULL AND NOT is_ref""")
 def version_pin(spark, d):
-    s = relation_state(spark, d)
-    pins = s.relations.where("to_version IS NOT NULL").select("id", "to_version")
-    edits = s.ops.groupBy(F.col("ord.block").alias("block")).agg(F.count("*").alias("n")).withColumn("ops_until_pin", F.sum("n").over(Window.orderBy("block")))
-    edits = edits.select(L.named("edit:", F.col("block")).alias("to_version"), "ops_until_pin")
-    return hexed(pins.join(edits, "to_version"), "id", "to_version")
+    return hexed(_endpoints(spark, d).where("version IS NOT NULL AND NOT is_ref").select("id", "end", "target", "version", "status"), "id", "target", "version")
 
 
-@query(f"WITH {_EVENTS} SELECT id, max(CASE WHEN space='side' THEN status END) AS there, max(CASE WHEN space='main' THEN status END) AS here FROM ent GROUP BY id")
+@query(f"""WITH {_PINS} SELECT id, "end", target, at_space, status FROM res WHERE at_space<>space AND ver IS NULL AND NOT is_ref""")
 def space_pin_lookup(spark, d):
-    e = entity_state_of(spark, d).entities
-    there = e.where("space = 'side'").select("id", F.col("status").alias("there"))
-    return hexed(e.where("space = 'main'").select("id", F.col("status").alias("here")).join(there, "id", "full_outer").select("id", "there", "here"), "id")
+    return hexed(_endpoints(spark, d).where("at_space != space AND version IS NULL AND NOT is_ref").select("id", "end", "target", "at_space", "status"), "id", "target")
+
+
+@query(f"""WITH {_PINS} SELECT id, at_space, target, entity, property, language, status, CASE WHEN status='ACTIVE' THEN val END AS val FROM res WHERE is_ref""")
+def value_ref_values(spark, d):
+    out = _endpoints(spark, d).where("is_ref").withColumn("val", F.coalesce("value.text", F.col("value.i64").cast("string")))
+    return hexed(out.select("id", "at_space", "target", "entity", "property", "language", "status", "val"), "id", "target", "entity", "property", "language")
 
 
 @query(f"WITH {_EVENTS}, {_SLOTS}, p AS (SELECT *, row_number() OVER (PARTITION BY id,property,language ORDER BY CASE space WHEN 'side' THEN 0 ELSE 1 END) AS r FROM live) SELECT id, property, language, space, txt, i64 FROM p WHERE r=1")
 def multi_space_view(spark, d):
-    v = entity_state_of(spark, d).values
-    w = Window.partitionBy("id", "property", "language").orderBy(F.when(F.col("space") == "side", 0).otherwise(1))
-    out = flat(v.withColumn("r", F.row_number().over(w)).where("r = 1"))
-    return out.select("id", "property", "language", "space", "txt", "i64")
+    return flat(V.by_space(entity_state_of(spark, d).values, ["side", "main"])).select("id", "property", "language", "space", "txt", "i64")
 
 
 @query(f"WITH {_EVENTS} SELECT id, count(DISTINCT space) AS spaces, max(n) AS latest FROM ok GROUP BY id")
@@ -381,12 +413,11 @@ def provenance_authors(spark, d):
     return hexed(a.select("id", F.explode("authors").alias("author")).groupBy("id").agg(F.countDistinct("author").alias("authors"), F.bool_or(F.col("author") == 3).alias("by_third")), "id")
 
 
-@query(f"SELECT {sid("'customer:'||o_custkey")} AS root, count(*) AS n_ops, count(DISTINCT o_orderpriority) AS edge_types FROM orders GROUP BY 1")
+@query(f"""WITH o AS (SELECT CASE WHEN o_orderkey%2=0 THEN 'main' ELSE 'side' END AS space, {sid("'customer:'||o_custkey")} AS root, {sid("'relation:'||o_orderpriority")} AS t, {sid("'relation:clerk'")} AS clerk, o_orderkey AS k FROM orders WHERE o_orderkey%3<>0)
+SELECT space, root, CASE k%4 WHEN 0 THEN '' WHEN 1 THEN t ELSE t||'/'||clerk END AS path, count(*) AS n_ops, count(DISTINCT CASE k%4 WHEN 0 THEN 'root' WHEN 1 THEN k::VARCHAR ELSE 'clerk'||(k%10) END) AS n_entities FROM o GROUP BY ALL""")
 def context_groups(spark, d):
-    o = L.read(spark, d, "orders")
-    ctx = F.struct(L.named("customer:", F.col("o_custkey")).alias("root_id"), F.array(F.struct(L.named("relation:", F.col("o_orderpriority")).alias("type_id"))).alias("edges"))
-    x = o.select(ctx.alias("context")).groupBy(F.col("context.root_id").alias("root")).agg(F.count("*").alias("n_ops"), F.count_distinct(F.col("context.edges")[0]["type_id"]).alias("edge_types"))
-    return hexed(x, "root")
+    x = V.context_groups(L.context_ops(spark, d))
+    return x.select("space", I.format_id(F.col("root_id")).alias("root"), F.concat_ws("/", F.transform("path", I.format_id)).alias("path"), "n_ops", "n_entities")
 
 
 # ---- value refs ----------------------------------------------------------------------------------------------
@@ -408,37 +439,75 @@ def value_ref_reverse(spark, d):
 # ---- checks --------------------------------------------------------------------------------------------------
 
 
-@query("WITH t AS (SELECT o_custkey%20 AS edit, o_orderpriority AS property, o_orderkey%2 AS data_type FROM orders WHERE o_orderkey%50=0 OR o_custkey%3=0) SELECT edit, property, count(DISTINCT data_type) AS n_types FROM t GROUP BY ALL HAVING count(DISTINCT data_type)>1")
+def _found(ops, check):
+    x = K.findings(ops).where(F.col("check") == check)
+    return hexed(x.select(F.col("edit_id").alias("edit"), F.col("at").cast("long").alias("at"), "subject"), "edit", "subject")
+
+
+@query(f"SELECT {sid("'edit:'||(o_custkey%20)")} AS edit, min(o_orderkey) AS at, {sid("'property:'||o_orderpriority")} AS subject FROM orders GROUP BY o_custkey%20, o_orderpriority HAVING count(DISTINCT o_orderkey%2)>1")
 def datatype_consistency(spark, d):
-    t = L.read(spark, d, "orders").where("o_orderkey % 50 = 0 OR o_custkey % 3 = 0").selectExpr("o_custkey % 20 AS edit", "o_orderpriority AS property", "o_orderkey % 2 AS data_type")
-    return t.groupBy("edit", "property").agg(F.countDistinct("data_type").alias("n_types")).where("n_types > 1")
+    k = F.col("o_orderkey")
+    one = F.struct(L.named("property:", F.col("o_orderpriority")).alias("property"), L.value(data_type=F.when(k % 2 == 0, M.INT64).otherwise(M.TEXT), i64=k, text=F.lit("x")).alias("value"))
+    return _found(L.edit_ops(L.read(spark, d, "orders"), L.named("edit:", F.col("o_custkey") % 20), k, M.UPDATE_ENTITY, L.named("order:", k), set=F.array(one)), "two types of a property")
 
 
-@query(f"WITH {_EVENTS}, {_SLOTS} SELECT space, id, property, n AS block FROM ev WHERE seq=1 AND property={prop('score')}")
+@query(f"WITH {_EVENTS}, ok2 AS (SELECT * FROM raw), {_SLOTS.replace('FROM ok WHERE', 'FROM ok2 WHERE')} SELECT {sid("'edit:'||n")} AS edit, id, property FROM ev WHERE seq=1 AND property={prop('score')}")
 def schema_type_check(spark, d):
-    e = R.slot_events(entity_state_of(spark, d).accepted).where("seq = 1")
-    schema = spark.range(1).select(F.explode(F.array(F.struct(L.named("property:score").alias("property"), F.lit(5).alias("want")), F.struct(L.named("property:name").alias("property"), F.lit(5).alias("want")))).alias("x")).select("x.*")
-    bad = e.join(F.broadcast(schema), "property").where("want != value.data_type")
-    return hexed(bad.select("space", "id", "property", F.col("ord.block").alias("block")), "id", "property")
+    ops = L.entity_ops(spark, d).withColumns({"edit_id": L.named("edit:", F.col("ord.block")), "op_index": F.col("ord.op_index")})
+    schema = spark.range(1).select(F.explode(F.array(*(F.struct(L.named(f"property:{p}").alias("property"), F.lit(M.TEXT).alias("data_type")) for p in ("score", "name")))).alias("x")).select("x.*")
+    return hexed(K.schema_findings(ops, schema).select(F.col("edit_id").alias("edit"), "id", "property"), "edit", "id", "property")
+
 
+def _line_edits(spark, d):
+    """lineitem as updates: a line sets its return flag, a text in German where its status is O; lines of one order and a
+    third of the suppliers are one op. Odd lines unset instead in set_unset_overlap."""
+    x = L.read(spark, d, "lineitem").withColumn("n", F.col("l_linenumber").cast("int"))
+    german = F.when(F.col("l_linestatus") == "O", I.language_id(F.lit("de")))
+    prop = L.named("property:", F.col("l_returnflag")).alias("property")
+    one = F.struct(prop, L.value(data_type=F.lit(M.TEXT), text=F.col("l_linestatus"), language=german).alias("value"))
+    mode = F.when(F.col("n") % 3 == 0, M.UNSET_ALL).when(F.col("n") % 3 == 1, M.UNSET_ENGLISH).otherwise(M.UNSET_LANGUAGE)
+    off = F.struct(prop, mode.cast("tinyint").alias("mode"), F.when(mode == M.UNSET_LANGUAGE, I.language_id(F.lit("de"))).alias("language"))
+    return x, one, off
 
-@query("SELECT l_orderkey AS edit, l_returnflag AS property, l_linestatus AS language, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*)>1")
+
+@query(f"SELECT {sid("'edit:'||l_orderkey")} AS edit, (l_suppkey%3)::BIGINT AS at, {sid("'property:'||l_returnflag")} AS subject FROM lineitem GROUP BY l_orderkey, l_suppkey%3, l_returnflag, l_linestatus='O' HAVING count(*)>1")
 def dup_value_check(spark, d):
-    x = L.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("edit"), F.col("l_returnflag").alias("property"), F.col("l_linestatus").alias("language"))
-    return x.agg(F.count("*").alias("n")).where("n > 1")
+    x, one, _ = _line_edits(spark, d)
+    x = x.groupBy("l_orderkey", (F.col("l_suppkey") % 3).alias("g")).agg(F.collect_list(one).alias("sets"))
+    return _found(L.edit_ops(x, L.named("edit:", F.col("l_orderkey")), F.col("g"), M.UPDATE_ENTITY, L.named("order:", F.col("l_orderkey")), set=F.col("sets")), "a slot set twice")
 
 
-@query("SELECT DISTINCT a.l_orderkey AS edit, a.l_suppkey AS entity, a.l_returnflag AS property FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_returnflag=b.l_returnflag WHERE a.l_linenumber%2=0 AND b.l_linenumber%2=1 AND a.l_suppkey%3=b.l_suppkey%3")
+@query(f"""SELECT DISTINCT {sid("'edit:'||a.l_orderkey")} AS edit, (a.l_suppkey%3)::BIGINT AS at, {sid("'property:'||a.l_returnflag")} AS subject FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_suppkey%3=b.l_suppkey%3 AND a.l_returnflag=b.l_returnflag
+ WHERE a.l_linenumber%2=0 AND b.l_linenumber%2=1 AND CASE b.l_linenumber%3 WHEN 0 THEN true WHEN 1 THEN a.l_linestatus<>'O' ELSE a.l_linestatus='O' END""")
 def set_unset_overlap(spark, d):
-    x = L.read(spark, d, "lineitem").selectExpr("l_orderkey AS edit", "l_suppkey AS entity", "l_suppkey % 3 AS k", "l_returnflag AS property", "l_linenumber AS n")
-    return x.where("n % 2 = 0").join(x.where("n % 2 = 1").select("edit", "property", "k"), ["edit", "property", "k"], "left_semi").select("edit", "entity", "property").distinct()
+    x, one, off = _line_edits(spark, d)
+    x = x.groupBy("l_orderkey", (F.col("l_suppkey") % 3).alias("g")).agg(F.collect_list(F.when(F.col("n") % 2 == 0, one)).alias("sets"), F.collect_list(F.when(F.col("n") % 2 == 1, off)).alias("unsets"))
+    return _found(L.edit_ops(x, L.named("edit:", F.col("l_orderkey")), F.col("g"), M.UPDATE_ENTITY, L.named("order:", F.col("l_orderkey")), set=F.col("sets"), unset=F.col("unsets")), "set and unset")
 
 
-@query("SELECT o_custkey AS edit, o_orderstatus AS id, min(CASE WHEN o_orderkey%3=0 THEN o_orderkey END) AS deleted, max(CASE WHEN o_orderkey%3=1 THEN o_orderkey END) AS created FROM orders GROUP BY ALL HAVING min(CASE WHEN o_orderkey%3=0 THEN o_orderkey END)<max(CASE WHEN o_orderkey%3=1 THEN o_orderkey END)")
+@query(f"""SELECT {sid("'edit:'||o_custkey")} AS edit, max(CASE WHEN o_orderkey%3=1 THEN o_orderkey END) AS at, {sid("'status:'||o_orderstatus")} AS subject FROM orders GROUP BY o_custkey, o_orderstatus
+ HAVING min(CASE WHEN o_orderkey%3=0 THEN o_orderkey END)<max(CASE WHEN o_orderkey%3=1 THEN o_orderkey END)""")
 def delete_then_create(spark, d):
     k = F.col("o_orderkey")
-    x = L.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("edit"), F.col("o_orderstatus").alias("id"))
-    return x.agg(F.min(F.when(k % 3 == 0, k)).alias("deleted"), F.max(F.when(k % 3 == 1, k)).alias("created")).where("deleted < created")
+    kind = F.when(k % 3 == 0, M.DELETE_ENTITY).when(k % 3 == 1, M.CREATE_ENTITY).otherwise(M.UPDATE_ENTITY)
+    return _found(L.edit_ops(L.read(spark, d, "orders"), L.named("edit:", F.col("o_custkey")), k, kind, L.named("status:", F.col("o_orderstatus"))), "deleted, then created")
+
+
+_BOUNDS = "CASE c_custkey%6 WHEN 0 THEN abs(lat)<=90 AND abs(lon)<=180 WHEN 1 THEN abs(lat)<=90 AND abs(lon)<=180 WHEN 2 THEN us BETWEEN 0 AND 86399999999 WHEN 3 THEN abs(off)<=1440 WHEN 4 THEN m%10<>0 OR (m=0 AND e=0) ELSE true END"
+
+
+@query(f"SELECT {sid("'customer:'||c_custkey")} AS edit, c_custkey AS at, {sid("'property:'||(c_custkey%6)")} AS subject FROM (SELECT c_custkey, (c_custkey*7)%200-100 AS lat, (c_custkey*11)%380-190 AS lon, (c_custkey%100)*1000000000 AS us, c_custkey%3000-1500 AS off, c_custkey%30 AS m, c_custkey%2 AS e FROM customer) WHERE NOT ({_BOUNDS})")
+def value_bounds(spark, d):
+    k = F.col("c_custkey")
+    lat, lon, off, m = ((k * 7) % 200 - 100).cast("double"), ((k * 11) % 380 - 190).cast("double"), (k % 3000 - 1500).cast("smallint"), k % 30
+    kinds = [(M.POINT, {"point": F.struct(lat.alias("lat"), lon.alias("lon"), F.lit(None).cast("double").alias("alt"))}), (M.RECT, {"rect": F.struct(lat.alias("min_lat"), lon.alias("min_lon"), F.lit(-80.0).alias("max_lat"), F.lit(10.0).alias("max_lon"))})]
+    kinds += [(M.TIME, {"time": F.struct(((k % 100) * 1_000_000_000).cast("long").alias("time_us"), F.lit(0).cast("smallint").alias("offset_min"))}), (M.DATE, {"date": F.struct(F.lit(1).alias("days"), off.alias("offset_min"))})]
+    kinds += [(M.DECIMAL, {"dec": F.struct((k % 2).cast("int").alias("exponent"), m.cast("long").alias("mantissa_i64"), F.lit(None).cast("binary").alias("mantissa_big"))}), (M.INT64, {"i64": k})]
+    value = L.value(data_type=F.lit(M.INT64), i64=k)
+    for i, (kind, given) in enumerate(kinds):
+        value = F.when(k % 6 == i, L.value(data_type=F.lit(kind), **given)).otherwise(value)
+    sets = F.array(F.struct(L.named("property:", k % 6).alias("property"), value.alias("value")))
+    return _found(L.edit_ops(L.read(spark, d, "customer"), L.named("customer:", k), k, M.UPDATE_ENTITY, L.named("customer:", k), set=sets), "value out of bounds")
 
 
 @query("SELECT o_orderkey, regexp_full_match(o_clerk,'[0-9A-Za-z]{1,64}') AS valid FROM (SELECT o_orderkey, CASE o_orderkey%4 WHEN 0 THEN 'aV' WHEN 1 THEN '' WHEN 2 THEN 'a-b' ELSE repeat('z',(o_orderkey%130)::INT) END AS o_clerk FROM orders)")
@@ -508,7 +577,7 @@ def time_sort(spark, d):
     n = F.col("event_id")
     t = F.struct(((n % 86400) * 1_000_000).alias("time_us"), ((n % 5) * 60).cast("smallint").alias("offset_min"))
     x = L.read(spark, d, "events").select("event_id", D.time_sort_key(t).alias("k"))
-    return x.select("event_id", F.row_number().over(Window.orderBy("k", "event_id")).cast("long").alias("place"))
+    return V.numbered(x, ["k", "event_id"], written).select("event_id", "place")
 
 
 @query("SELECT event_id, CASE WHEN m=0 THEN e=0 ELSE m%10<>0 END AS normal, CAST(m AS DECIMAL(38,4))/CASE e WHEN 0 THEN 1 WHEN -1 THEN 10 ELSE 100 END = CAST(m AS DOUBLE)/CASE e WHEN 0 THEN 1 WHEN -1 THEN 10 ELSE 100 END AS same, m AS mantissa FROM (SELECT event_id, event_id%500 AS m, -(event_id%3) AS e FROM events)")
@@ -553,29 +622,21 @@ def dict_intern(spark, d):
 # ---- the interchange format: encoded and decoded again, so the result equals its source ------------------------
 
 
-def _customer_edits(spark, d, compress=False):
-    """Edits of up to a thousand customers each, encoded from columns."""
-    from pyspark.sql.types import _parse_datatype_string
+def _heads(ops, name):
+    return ops.groupBy("edit_id").agg(F.count("*").cast("int").alias("n_ops")).select("edit_id", F.lit(name).alias("name"), F.array().cast("array<binary>").alias("authors"), F.lit(0).cast("long").alias("created_at"), "n_ops")
 
-    from strandlog import model as M
-    from strandlog.sources import edits
 
-    c = L.read(spark, d, "customer")
-    schema = _parse_datatype_string(M.OP)
-    value_type = schema["set"].dataType.elementType["value"].dataType
-
-    def value(**given):
-        return F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in value_type.fields))
+def _customer_edits(spark, d, backwards=False, edit=None, **how):
+    """Edits of up to a thousand customers each, encoded from columns."""
+    from strandlog.sources import edits
 
+    k = F.col("c_custkey")
     sets = F.array(
-        F.struct(F.unhex(F.lit(I.NAME)).alias("property"), value(data_type=F.lit(M.TEXT), text=F.col("c_name")).alias("value")),
-        F.struct(L.named("property:balance").alias("property"), value(data_type=F.lit(M.FLOAT64), f64=F.col("c_acctbal"), unit=L.named("unit:dollar")).alias("value")),
+        F.struct(F.unhex(F.lit(I.NAME)).alias("property"), L.value(data_type=F.lit(M.TEXT), text=F.col("c_name")).alias("value")),
+        F.struct(L.named("property:balance").alias("property"), L.value(data_type=F.lit(M.FLOAT64), f64=F.col("c_acctbal"), unit=L.named("unit:dollar")).alias("value")),
     )
-    k = F.col("c_custkey")
-    given = {"op_index": k % 1000, "op_type": F.lit(M.CREATE_ENTITY), "id": L.named("customer:", k), "set": sets}
-    ops = c.select(L.named("edit:", F.floor(k / 1000)).alias("edit_id"), *(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
-    heads = ops.groupBy("edit_id").agg(F.count("*").cast("int").alias("n_ops")).select("edit_id", F.lit("customers").alias("name"), F.array().cast("array<binary>").alias("authors"), F.lit(0).cast("long").alias("created_at"), "n_ops")
-    return edits.encode_edits(edits.gather(ops, heads), compress=compress)
+    ops = L.edit_ops(L.read(spark, d, "customer"), L.named("edit:", F.floor(k / 1000) if edit is None else edit), k % 1000, M.CREATE_ENTITY, L.named("customer:", k), set=F.reverse(sets) if backwards else sets)
+    return edits.encode_edits(edits.gather(ops, _heads(ops, "customers")), **how)
 
 
 _CUSTOMERS = f"SELECT {sid("'edit:'||(c_custkey//1000)")} AS edit_id, {sid("'customer:'||c_custkey")} AS id, c_name AS name, c_acctbal AS balance FROM customer"
@@ -599,18 +660,77 @@ def zstd_roundtrip(spark, d):
     return _decoded(_customer_edits(spark, d, compress=True))
 
 
-@query()
+@query(f"SELECT DISTINCT {sid("'edit:'||(c_custkey//1000)")} AS edit_id, true AS same, true AS hash_of_content FROM customer")
 def canonical_hash(spark, d):
+    """The canonical bytes don't depend on the order in which an op's values come, and their hash is that of the bytes."""
     from strandlog.sources.edits import content_hash
 
-    return hexed(_customer_edits(spark, d).select("edit_id", F.octet_length("content").alias("n_bytes"), content_hash(F.col("content")).alias("hash")), "edit_id")
+    one, other = (_customer_edits(spark, d, backwards=b) for b in (False, True))
+    both = one.select("edit_id", "content").join(other.select("edit_id", F.col("content").alias("again")), "edit_id")
+    return hexed(both.select("edit_id", (F.col("content") == F.col("again")).alias("same"), (content_hash(F.col("content")) == F.sha2("again", 256)).alias("hash_of_content")), "edit_id")
+
+
+@query(_CUSTOMERS)
+def fast_roundtrip(spark, d):
+    return _decoded(_customer_edits(spark, d, canonical=False))
+
 
+@query(f"SELECT {sid("'edit:'||k")} AS edit_id, k<1000000 AS compressed, n AS n_ops FROM (SELECT CASE WHEN c_custkey%10=0 THEN 1000000+c_custkey ELSE c_custkey//1000 END AS k, count(*)::INT AS n FROM customer GROUP BY 1)")
+def auto_encode(spark, d):
+    """Edits of one op stay plain, those of many are compressed; headers are read from either."""
+    from strandlog.sources import edits
 
-@query()
+    k = F.col("c_custkey")
+    blobs = written(_customer_edits(spark, d, compress="auto", threshold=600, edit=F.when(k % 10 == 0, k + 1_000_000).otherwise(F.floor(k / 1000))))
+    heads = edits.decode_headers(blobs.select(F.lit("").alias("path"), "content")).select("edit_id", "n_ops")
+    return hexed(blobs.select("edit_id", edits.is_compressed(F.col("content")).alias("compressed")).join(heads, "edit_id"), "edit_id")
+
+
+def _mixed_ops(spark, d):
+    """customer as ops of all nine types, two of three with a context."""
+    c, k = L.read(spark, d, "customer"), F.col("c_custkey")
+    kind = (k % 9 + 1).cast("int")
+    sets = F.array(F.struct(F.unhex(F.lit(I.NAME)).alias("property"), L.value(data_type=F.lit(M.TEXT), text=F.col("c_name")).alias("value")))
+    unsets = F.array(F.struct(L.named("property:old").alias("property"), F.lit(M.UNSET_ALL).cast("tinyint").alias("mode"), F.lit(None).cast("binary").alias("language")))
+    ends = L._relation(L.named("relation:in"), L.named("customer:", k), L.named("nation:", F.col("c_nationkey")), F.concat(F.lit("p"), (k % 7).cast("string")), to_version=F.when(k % 2 == 0, L.named("edit:", k)), from_space=F.when(k % 4 == 0, L.named("space:side")))
+    moved = L._relation(position=F.concat(F.lit("q"), (k % 5).cast("string")))
+    ref = F.struct(L.named("customer:", k).alias("entity"), F.unhex(F.lit(I.NAME)).alias("property"), F.when(k % 2 == 0, I.language_id(F.lit("de"))).alias("language"), F.when(k % 4 == 0, L.named("space:side")).alias("space"))
+    edge = F.struct(L.named("relation:in").alias("type_id"), L.named("customer:", k).alias("to_entity_id"))
+    context = F.when((k % 3 != 0) & (kind != M.CREATE_VALUE_REF), F.struct(L.named("nation:", F.col("c_nationkey")).alias("root_id"), F.array(edge).alias("edges")))
+    given = {"set": F.when(kind <= M.UPDATE_ENTITY, sets), "unset": F.when(kind == M.UPDATE_ENTITY, unsets), "relation": F.when(kind == M.CREATE_RELATION, ends).when(kind == M.UPDATE_RELATION, moved), "unset_fields": F.when(kind == M.UPDATE_RELATION, 8), "value_ref": F.when(kind == M.CREATE_VALUE_REF, ref), "context": context}
+    return L.edit_ops(c, L.named("edit:", F.floor(k / 500)), k % 500, kind, L.named("thing:", k), **given)
+
+
+@query(f"""SELECT {sid("'edit:'||(c_custkey//500)")} AS edit_id, (c_custkey%9+1)::INT AS op_type, {sid("'thing:'||c_custkey")} AS id, CASE c_custkey%9+1 WHEN 1 THEN c_name WHEN 2 THEN c_name||'-'||{prop("old")} WHEN 5 THEN {sid("'nation:'||c_nationkey")}||'p'||(c_custkey%7) WHEN 6 THEN 'q'||(c_custkey%5)||'8' WHEN 9 THEN {sid("'customer:'||c_custkey")} END AS said,
+ CASE WHEN c_custkey%9+1=5 AND c_custkey%2=0 THEN {sid("'edit:'||c_custkey")} WHEN c_custkey%9+1=9 AND c_custkey%2=0 THEN {lang("de")} END AS pin, CASE WHEN c_custkey%9+1 IN (5,9) AND c_custkey%4=0 THEN {sid("'space:side'")} END AS pin_space,
+ CASE WHEN c_custkey%3<>0 AND c_custkey%9+1<>9 THEN {sid("'nation:'||c_nationkey")} END AS root, CASE WHEN c_custkey%3<>0 AND c_custkey%9+1<>9 THEN {sid("'customer:'||c_custkey")} END AS leaf FROM customer""")
+def all_ops_roundtrip(spark, d):
+    """Ops of all types, with pins and contexts, written in the format and read again."""
+    from strandlog.sources import edits
+
+    ops = _mixed_ops(spark, d)
+    blobs = edits.encode_edits(edits.gather(ops, _heads(ops, "mixed")))
+    x = edits.decode_ops(blobs.select(F.lit("").alias("path"), "content"))
+    kind, text = F.col("op_type"), F.get("set", F.lit(0))["value"]["text"]
+    said = (
+        F.when(kind == 1, text).when(kind == 2, F.concat(text, F.lit("-"), I.format_id(F.get("unset", F.lit(0))["property"]))).when(kind == 5, F.concat(I.format_id(F.col("relation.to")), F.col("relation.position")))
+        .when(kind == 6, F.concat(F.col("relation.position"), F.col("unset_fields").cast("string"))).when(kind == 9, I.format_id(F.col("value_ref.entity")))
+    )
+    pin = F.coalesce(F.col("relation.to_version"), F.col("value_ref.language"))
+    out = x.select("edit_id", kind.cast("int").alias("op_type"), "id", said.alias("said"), pin.alias("pin"), F.coalesce(F.col("relation.from_space"), F.col("value_ref.space")).alias("pin_space"), F.col("context.root_id").alias("root"), F.get("context.edges", F.lit(0))["to_entity_id"].alias("leaf"))
+    return hexed(out, "edit_id", "id", "pin", "pin_space", "root", "leaf")
+
+
+@query("SELECT n_nationkey, chr((97+n_nationkey%25)::INT) AS low, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', ((36+n_nationkey%25+61+1)//2)::INT+1, 1) AS position FROM nation")
 def midpoint_positions(spark, d):
-    between = F.udf(X.midpoint, "string")  # two short strings a row; there is no column form
-    x = L.read(spark, d, "nation").select("n_nationkey", F.concat(F.lit("a"), (F.col("n_nationkey") + 10).cast("string")).alias("low"))
-    return x.withColumn("position", between("low", F.lit("zzzz")))
+    x = L.read(spark, d, "nation").select("n_nationkey", F.char(F.lit(97) + F.col("n_nationkey") % 25).alias("low"))
+    return x.withColumn("position", X.midpoints("low", F.lit("zzzz")))
+
+
+@query(f"SELECT DISTINCT c_mktsegment AS name, {sid("'" + I.GENESIS_PREFIX + "'||c_mktsegment")} AS id, {sid("'" + I.DATA_TYPE_PREFIX + "'||lower(c_mktsegment)")} AS type_id FROM customer")
+def genesis_ids(spark, d):
+    x = L.read(spark, d, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    return hexed(x.select("name", I.genesis_id(F.col("name")).alias("id"), I.data_type_id(F.col("name")).alias("type_id")), "id", "type_id")
 
 
 @query("SELECT event_id, event_id%3<>0 AS valid FROM events")

@@ -61,16 +61,23 @@ def decode_headers(blobs: DataFrame, content: str = "content", key: str = "path"
     return blobs.select(F.col(key).alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
-def encode_edits(edits: DataFrame, canonical: bool = True, compress: bool = False) -> DataFrame:
-    """edits: edit columns and `ops`, an array of op structs. Gives (edit_id, content); an edit is one row, one blob."""
+def is_compressed(content):
+    """Column: whether an edit is in its compressed form."""
+    return F.substring(content, 1, len(wire.MAGIC_ZSTD)) == F.lit(wire.MAGIC_ZSTD)
+
+
+def encode_edits(edits: DataFrame, canonical: bool = True, compress: bool | str = False, threshold: int = 256, level: int = 3) -> DataFrame:
+    """edits: edit columns and `ops`, an array of op structs. Gives (edit_id, content); an edit is one row, one blob.
+    compress: False, True, or "auto" for edits of `threshold` bytes and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
             for r in rows:
                 r["ops"].sort(key=lambda o: o["op_index"])
-            pack = wire.encode_zstd if compress else wire.encode
-            yield pa.RecordBatch.from_arrays([pa.array([r["edit_id"] for r in rows], pa.binary()), pa.array([pack(r, canonical=canonical) for r in rows], pa.binary())], names=["edit_id", "content"])
+            how = {"canonical": canonical} | ({"level": level} if compress is True else {"threshold": threshold} if compress else {})
+            pack = wire.encode_zstd if compress is True else wire.encode_auto if compress else wire.encode
+            yield pa.RecordBatch.from_arrays([pa.array([r["edit_id"] for r in rows], pa.binary()), pa.array([pack(r, **how) for r in rows], pa.binary())], names=["edit_id", "content"])
 
     return edits.mapInArrow(run, "edit_id binary, content binary")
 
