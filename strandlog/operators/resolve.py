@@ -137,7 +137,7 @@ def relations(taken: DataFrame) -> DataFrame:
 
 def value_refs(taken: DataFrame) -> DataFrame:
     """(space, ref_id, entity, property, language, slot_space): a slot's last ref, then a ref's last slot."""
-    refs = taken.where(F.col("op_type") == M.CREATE_VALUE_REF).select("space", F.col("id").alias("ref_id"), "value_ref.entity", "value_ref.property", "value_ref.language", F.coalesce("value_ref.space", "space").alias("slot_space"), "ord")
+    refs = taken.where(F.col("op_type") == M.CREATE_VALUE_REF).select("space", F.col("id").alias("ref_id"), "value_ref.entity", "value_ref.property", "value_ref.language", F.coalesce(F.col("value_ref.space").cast(taken.schema["space"].dataType), F.col("space")).alias("slot_space"), "ord")
     slot = ["space", "entity", "property", "language", "slot_space"]
     by_slot = refs.groupBy(*slot).agg(F.max_by("ref_id", "ord").alias("ref_id"), F.max("ord").alias("ord"))
     return by_slot.groupBy("space", "ref_id").agg(F.max_by(F.struct("entity", "property", "language", "slot_space"), "ord").alias("x")).select("space", "ref_id", "x.*")
@@ -165,7 +165,7 @@ def resolve_endpoints(state: State, relations: DataFrame, edits: DataFrame) -> D
 
     ends = relations.select(*KEY, F.explode(F.array(end("from"), end("to"))).alias("e")).select(*KEY, "e.*")
     ends = ends.join(edits.select(F.col("edit_id").alias("version"), "upto"), "version", "left")
-    refs = state.value_refs.select(F.col("space").alias("at_space"), F.col("ref_id").alias("target"), F.lit(True).alias("is_ref"), "entity", "property", "language", F.col("slot_space").cast(space).alias("slot_space"))
+    refs = state.value_refs.select(F.col("space").alias("at_space"), F.col("ref_id").alias("target"), F.lit(True).alias("is_ref"), "entity", "property", "language", "slot_space")
     ends = ends.join(refs, ["at_space", "target", "is_ref"], "left")
     where = {"of_space": F.when(F.col("is_ref"), F.col("slot_space")).otherwise(F.col("at_space")), "of_id": F.when(F.col("is_ref"), F.col("entity")).otherwise(F.col("target"))}
     ends = written(ends.withColumns(where))

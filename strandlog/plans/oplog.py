@@ -114,7 +114,7 @@ def pinned_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     refs = refs.withColumns({"space": F.when(F.col("ord.block") % 5 == 0, "side").otherwise("main"), "ord": order(F.col("ord.block"), tx=1, log=2)})
     ends = _relation(
         named("relation:pins"), named("user:", k % 300), F.when(k % 2 == 1, named("vref:", k % 70)).otherwise(named("user:", (k * 7) % 300)), to_version=F.when(k % 7 < 3, named("edit:", k % 977)), to_ref=k % 2 == 1, entity=F.when(k % 11 == 0, named("statement:", k)),
-        from_space=F.when(k % 3 == 0, F.lit("side")), from_version=F.when(k % 5 == 0, named("edit:", k % 1000)), to_space=F.when(k % 6 < 2, F.lit("main")),
+        from_space=F.when(k % 3 == 0, F.lit("side")), from_version=F.when(k % 35 == 0, named("edit:", k + 100_000_000)).when(k % 5 == 0, named("edit:", k % 1000)), to_space=F.when(k % 6 < 2, F.lit("main")),
     )
     pins = _frame(o, M.CREATE_RELATION, k + 1_000_000_000, F.lit(0), named("pin:", k), ends).withColumn("space", F.when(F.col("ord.block") % 4 == 0, "side").otherwise("main"))
     edits = users.unionByName(refs).select(named("edit:", F.col("ord.block")).alias("edit_id"), "ord")

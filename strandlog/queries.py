@@ -357,7 +357,7 @@ def logical_quads(spark, d):
 _PINS = f"""{_EVENTS}, {_SLOTS},
 pin AS (SELECT o_orderkey AS k, {sid("'pin:'||o_orderkey")} AS id, CASE WHEN o_orderkey%4=0 THEN 'side' ELSE 'main' END AS space FROM orders),
 en AS (
-  SELECT k, id, space, 'from' AS "end", {sid("'user:'||(k%300)")} AS target, false AS is_ref, CASE WHEN k%3=0 THEN 'side' ELSE space END AS at_space, CASE WHEN k%5=0 THEN k%1000 END AS ver FROM pin
+  SELECT k, id, space, 'from' AS "end", {sid("'user:'||(k%300)")} AS target, false AS is_ref, CASE WHEN k%3=0 THEN 'side' ELSE space END AS at_space, CASE WHEN k%35=0 THEN 100000000+k WHEN k%5=0 THEN k%1000 END AS ver FROM pin
   UNION ALL SELECT k, id, space, 'to', CASE WHEN k%2=1 THEN {sid("'vref:'||(k%70)")} ELSE {sid("'user:'||((k*7)%300)")} END, k%2=1, CASE WHEN k%6<2 THEN 'main' ELSE space END, CASE WHEN k%7<3 THEN k%977 END FROM pin),
 vr AS (SELECT event_id AS n, CASE WHEN event_id%5=0 THEN 'side' ELSE 'main' END AS space, {sid("'vref:'||(event_id%60)")} AS vid, {sid("'user:'||user_id")} AS entity,
   CASE event_id%3 WHEN 0 THEN {prop("name")} WHEN 1 THEN {prop("score")} ELSE {prop("title")} END AS property, CASE WHEN event_id%3=2 AND event_id%2=0 THEN {lang("de")} END AS language,

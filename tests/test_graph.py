@@ -24,7 +24,7 @@ def k(n):
 
 
 # A few of the queries here; the driver compares all of them.
-@pytest.mark.parametrize("name", ["slot_lww", "state_diff", "relation_field_lww", "value_ref_reverse", "claims_namespace", "datetime_parse_format", "unique_relation_id"])
+@pytest.mark.parametrize("name", ["slot_lww", "state_diff", "relation_field_lww", "value_ref_reverse", "claims_namespace", "datetime_parse_format", "version_pin", "value_ref_values", "logical_quads", "all_ops_roundtrip", "set_unset_overlap", "time_sort"])
 def test_query_equals_sql(spark, sf, name):
     assert oracle.difference(spark, oracle.connect(sf), Q.QUERIES[name], Q.ORACLE_SQL[name], sf) is None
 
@@ -221,16 +221,57 @@ def test_midpoints_and_small_functions(spark):
     assert str(val(scalars.decimal_value(F.lit(-2), F.lit(1234), 2))) == "12.34"
 
 
-def test_stream_equals_batch(spark, sf, tmp_path):
+def test_stream_equals_batch(spark, tmp_path):
+    """Random logs in any order of arrival: entities, relations, reified entities that later batches update, value refs."""
     from strandlog.streaming.resolve_stream import LiveState
 
-    log = oplog.entity_ops(spark, sf)
-    for i in (2, 0, 1):  # out of order
-        log.where(f"ord.block % 3 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rng, rows = random.Random(12), []
+    for i in range(60):
+        log = random_log(rng)
+        for n, op in enumerate(log):
+            if op["op_type"] == 2 and rng.random() < 0.5:  # of an implicit entity
+                op["id"] = ids.uuid8(ids.RELATION_ENTITY_PREFIX.encode() + rng.choice([k(1), k(11), k(12)]))
+            rows.append(as_row(f"s{i}", n, op))
+    rng.shuffle(rows)
     live = LiveState(spark, f"file://{tmp_path}/live")
-    live.start(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")).awaitTermination()
-    want = R.State(log)
-    key = lambda df: sorted((r["space"], bytes(r["id"]), r["status"]) for r in df.collect())
-    assert key(live.state()) == key(want.objects)
-    n = live.state().select(F.sum(F.size(F.coalesce("values", F.array())))).collect()[0][0]
-    assert n == want.values_all.count()
+    for i in range(3):
+        part = spark.createDataFrame(rows[i::3], SCHEMA).coalesce(1)
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+    live.start(spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")).awaitTermination()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/log")
+    want = R.State(spark.read.parquet(f"{tmp_path}/log"))
+    b = lambda x: None if x is None else bytes(x)
+    got = live.state().collect()
+    assert {(r["space"], b(r["id"]), r["kind"], r["status"]) for r in got} == {(r["space"], b(r["id"]), r["kind"], r["status"]) for r in want.objects.collect()}
+    slots = lambda s, i, v: (s, b(i), b(v["property"]), b(v["language"]), v["value"]["i64"])
+    assert {slots(r["space"], r["id"], v) for r in got for v in r["values"] or ()} == {slots(r["space"], r["id"], r) for r in want.values_all.collect()}
+    assert {(r["space"], b(r["id"]), b(r["relation"]["from"]), r["relation"]["position"]) for r in got if r["relation"]} == {(r["space"], b(r["id"]), b(r["from"]), r["position"]) for r in want.relations_all.collect()}
+    refs = lambda df: {tuple(b(x) if isinstance(x, bytearray) else x for x in r) for r in df.select("space", "ref_id", "entity", "property", "language", "slot_space").collect()}
+    assert refs(live.value_refs()) == refs(want.value_refs) and len(refs(want.value_refs)) > 40
+
+
+def test_endpoints_and_logical_rows(spark, sf):
+    got = Q._endpoints(spark, sf)
+    assert {r["status"] for r in got.select("status").distinct().collect()} == {"ACTIVE", "DELETED", "NOT_FOUND", "UNKNOWN_VERSION"}
+    assert got.where("is_ref AND value IS NOT NULL AND version IS NOT NULL").count() > 0
+
+
+def test_more_findings(spark):
+    b = B.EditBuilder(k(1)).author(k(2)).author(k(2)).create_entity(k(3), B.Values().int64(k(10), 1)).create_value_ref(k(9), k(3), k(10), k(50)).update_relation(k(4), unset=["position"], position="a")
+    frame = b.frame(spark)
+    ops = frame.select("edit_id", F.explode("ops").alias("o")).select("edit_id", "o.*")
+    got = {r["check"] for r in validate.findings(ops, frame.select("edit_id", "authors")).collect()}
+    assert got == {"a value ref's language on what isn't text", "a field set and unset", "an author twice"}
+    rect = spark.range(1).select(oplog.value(data_type=F.lit(M.RECT), rect=F.struct(F.lit(10.0).alias("min_lat"), F.lit(0.0).alias("min_lon"), F.lit(-10.0).alias("max_lat"), F.lit(0.0).alias("max_lon"))).alias("v"))
+    assert rect.select(scalars.value_error(F.col("v"))).collect()[0][0] is None
+
+
+def test_paths_longer_than_the_steps_are_an_error(spark):
+    from strandlog.operators import views
+    from strandlog.plans.shared import written
+
+    edges = spark.range(6).selectExpr("id AS from", "id + 1 AS to")
+    start = spark.range(1)
+    assert views.reachable(edges, start, written).count() == 7
+    with pytest.raises(RuntimeError):
+        views.reachable(edges, start, written, most_steps=3)
