@@ -38,7 +38,7 @@ _CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: Letters of which each is composed and has one lower-case letter, by the same rule everywhere; and ASCII punctuation
 #: other than the apostrophe, which may begin a pre-token of its own.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-žΆΈ-ΊΌΎ-ΡΣ-ώЀ-џ"
-_PLAIN = rf"^(?P<word>[{_LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)$"
+_PLAIN = rf"^(?P<word>\n?[{_LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -72,12 +72,12 @@ class Cache:
 
 
 class CachedTokenizer:
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.dtype, self.cache, self.plain_words = np.dtype(dtype), Cache(CACHE_ENTRIES // 4), Cache()
+        self.dtype, self.cache, self.plain_words = np.dtype(dtype), Cache(entries // 4), Cache(entries)
         self.letters, self.code = byte_letters(), {2: "H", 4: "I"}[self.dtype.itemsize]
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -85,6 +85,7 @@ class CachedTokenizer:
         split = next((x for x in pre.get("pretokenizers", []) if x["type"] == "Split"), None)
         self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL)
         self.lower = "Lowercase" in json.dumps(made["normalizer"])
+        self.line_feed = 0 if self.lower else self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.specials = [t["content"] for t in made["added_tokens"]]
 
     # ---- ids of parts
@@ -107,11 +108,14 @@ class CachedTokenizer:
         return None
 
     def ids_of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of plain letters, which follow a space; lower-cased ones where the tokenizer lowers."""
+        """The ids of words of plain letters, lower-cased ones where the tokenizer lowers: a word follows a space unless
+        it starts with a line feed."""
         made, model, code, letters = {}, self.tok.model.tokenize, self.code, self.letters
         space = "" if self.lower else letters[32]
         for w in self.plain_words.missing(words):
-            made[w] = array(code, [t.id for t in model(space + (w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(letters)))]).tobytes()
+            word = w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(letters)
+            ids = [t.id for t in model(word[1:])] if w[0] == "\n" else [t.id for t in model(space + word)]
+            made[w] = array(code, [self.line_feed, *ids] if w[0] == "\n" else ids).tobytes()
         self.plain_words.keep(made)
         young = self.plain_words.young
         return [young[w] if w in young else made[w] for w in words]
@@ -166,8 +170,8 @@ class CachedTokenizer:
 
     def group(self, texts: pa.Array) -> list[np.ndarray]:
         """encode() for texts without special tokens, all at once."""
-        if self.lower:
-            texts = pc.replace_substring(texts, "\n", " ")
+        # a line feed is a cut, too; where white space counts, it starts the part behind it
+        texts = pc.replace_substring(texts, "\n", " " if self.lower else " \n")
         cut = pc.split_pattern(texts, " ")
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
@@ -208,7 +212,8 @@ class CachedTokenizer:
         first in a text, or parts that stay together, with the space before them. Gives the items' first parts, their
         codes, and the strings and codes of those that aren't single plain parts after a space."""
         open_start, open_end = np.zeros(len(parts), bool), np.zeros(len(parts), bool)
-        open_start[odd] = np.fromiter((not p or p[0].isspace() for p in odd_parts), bool, len(odd))
+        bare = [p[1:] if p.startswith("\n") else p for p in odd_parts]
+        open_start[odd] = np.fromiter((not p or p[0].isspace() for p in bare), bool, len(odd))
         open_end[odd] = np.fromiter((not p or p[-1].isspace() for p in odd_parts), bool, len(odd))
         leads = np.zeros(len(code), bool)
         leads[first] = True
@@ -221,10 +226,10 @@ class CachedTokenizer:
         strings = []
         for lead, i, n in zip(leads[at[special]].tolist(), at[special].tolist(), length[special].tolist(), strict=True):
             own = [parts[c].as_py() for c in code[i : i + n].tolist()]
-            strings.append(("" if lead else " ") + " ".join(own))
+            strings.append((("" if lead else " ") + " ".join(own)).replace(" \n", "\n"))
         distinct = {s: k for k, s in enumerate(dict.fromkeys(strings))}
         item[special] = len(parts) + np.fromiter((distinct[s] for s in strings), np.int64, len(strings))
-        others = [*(" " + p for p in odd_parts), *distinct]
+        others = [*((" " + p).replace(" \n", "\n") for p in odd_parts), *distinct]
         return at, item, others, np.concatenate([odd, len(parts) + np.arange(len(distinct))])
 
 
@@ -245,6 +250,6 @@ def stretches(text: str) -> Iterator[str]:
         lo = hi
 
 
-def tokenizer(path: str, dtype: str = "<u4") -> CachedTokenizer:
+def tokenizer(path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES) -> CachedTokenizer:
     """One for each worker process; it stays from task to task."""
-    return kept(("tokenizer", path, dtype), lambda: CachedTokenizer(path, dtype))
+    return kept(("tokenizer", path, dtype, entries), lambda: CachedTokenizer(path, dtype, entries))

@@ -37,6 +37,8 @@ FILE_BYTES = 64 << 20
 #: Documents are dealt to tasks of about this many bytes of text, to MOST_PARTS tasks at the most (then larger ones).
 PART_BYTES = 256 << 20
 MOST_PARTS = 200_000
+#: Words that a worker's tokenizer keeps, in each of two generations.
+CACHE_ENTRIES = 250_000
 NULL_ID = -(1 << 63)
 
 
@@ -140,7 +142,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer_path: str, n_parts: int,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, end = tokenizer(tokenizer_path, dtype), np.array([END_ID], dtype).tobytes()
+        tok, end = tokenizer(tokenizer_path, dtype, CACHE_ENTRIES), np.array([END_ID], dtype).tobytes()
         out = RecordWriter(uri, TaskContext.get().partitionId())
         for b in batches:
             for k, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1)), strict=True):
