@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -129,16 +128,17 @@ def crossing(members: DataFrame, classes: DataFrame, small_sets: DataFrame, loos
     profiles = classes.select("class", "n", "registers").join(small_sets, "class")
     dealt = own.join(profiles, "class").withColumn("cell", cell)
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        ids, block, n = b["class"].to_numpy(), b["block"].to_numpy(), b["n"].to_numpy(float)
+    def run(b: pa.Table) -> pa.Table:
+        one = lambda c: b[c][0].as_py()
+        i, j, band = one("i"), one("j"), one("band")
+        ids, block, n = b["class"].to_numpy(), b["block"].to_numpy(), b["n"].to_numpy().astype(float)
         roots = np.unique(b["root"].to_numpy(), return_inverse=True)[1]
-        regs = np.frombuffer(b"".join(b["registers"]), np.uint16).reshape(-1, S.REGISTERS)
-        words = [np.frombuffer(x, np.uint32) for x in b["words"]]
-        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        band = int(b["band"].iloc[0])
+        regs = np.frombuffer(b"".join(b["registers"].to_pylist()), np.uint16).reshape(-1, S.REGISTERS)
+        words = [np.frombuffer(x, np.uint32) for x in b["words"].to_pylist()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
         for x in left:
-            y = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) if key[1] == key[2] else True)]
+            y = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) if i == j else True)]
             y = y[np.minimum(n[y], n[x]) * 100 >= percent * np.maximum(n[y], n[x])]
             if not len(y):
                 continue
@@ -152,13 +152,14 @@ def crossing(members: DataFrame, classes: DataFrame, small_sets: DataFrame, loos
                 if 100 * both >= percent * (n[x] + n[z] - both):
                     out.append((x, z))
                     roots[roots == roots[z]] = roots[x]
+        at, to = (pa.array([p[i] for p in out], pa.int64()) for i in (0, 1))
+        found = pa.table([b[c].take(k).combine_chunks() for c, k in (("id", at), ("id", to), ("digest", at), ("digest", to))], names=["u", "v", "du", "dv"])
+        del regs, words
         give_back()
-        at, to = (np.array([p[i] for p in out], int) for i in (0, 1))
-        pick = lambda c, k: b[c].to_numpy()[k]
-        return pd.DataFrame({"u": pick("id", at), "v": pick("id", to), "du": pick("digest", at), "dv": pick("digest", to)})
+        return found
 
     flat = dealt.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "class", "root", "block", "band", "n", "registers", "words", "id", "digest")
-    return flat.groupBy("key", "i", "j").applyInPandas(run, "u long, v long, du binary, dv binary").distinct()
+    return flat.groupBy("key", "i", "j").applyInArrow(run, "u long, v long, du binary, dv binary").distinct()
 
 
 def cut_sets(full: DataFrame) -> DataFrame:
