@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.llm.bpe import Cache
 from strandlog.llm.shared import arrow, kept
 
 SPACE = "▁"
 UNKNOWN = "<unk>"
 #: Score that an unknown character has below the least one (fixed value of the tokenizer).
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 200_000
+#: Words of a generation of a worker's cache, which has two; frequent words stay.
+CACHE_ENTRIES = 300_000
 
 
 def unigram_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -52,7 +54,7 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
-        self.cache: dict[str, tuple[float, int]] = {}
+        self.cache = Cache(CACHE_ENTRIES)
 
     def best(self, word: str) -> tuple[float, int]:
         """Score and number of pieces of the best segmentation of a word."""
@@ -94,18 +96,13 @@ class Counter:
         """Score, pieces and words of a whole text."""
         if not text:
             return 0.0, 0, 0
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
         marked = text.replace(" ", SPACE)
         words = (marked if marked.startswith(SPACE) else SPACE + marked).split(SPACE)[1:]
-        known, score, pieces = self.cache, 0.0, 0
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = self.best(SPACE + w)
-            score += got[0]
-            pieces += got[1]
-        return score, pieces, len(words)
+        made = {w: self.best(SPACE + w) for w in dict.fromkeys(self.cache.missing(words))}
+        self.cache.keep(made)
+        known = self.cache.young
+        found = [known[w] if w in known else made[w] for w in words]
+        return sum([f[0] for f in found]), sum([f[1] for f in found]), len(words)
 
 
 def counter(model_path: str) -> Counter:
