@@ -26,8 +26,9 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
-#: Bytes of an Arrow batch that an operator gets, so that long texts don't add up to large batches.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch that an operator gets, so that long texts don't add up to large batches: the JVM keeps chunks
+#: of 16 MB for each thread that writes batches, and a worker's arrays are several times a batch.
+BATCH_BYTES = 2 << 20
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, keeps: bool = False) -> DataFrame:
