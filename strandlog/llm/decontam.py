@@ -31,12 +31,14 @@ UNITS = (
     "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|sec|secs|min|mins|h|hr|hrs|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|percent|usd|eur|dollar|dollars|euro|euros|cent|cents|mph|kmh|"
     "mile|miles|meter|meters|metre|metres|gram|grams|liter|liters|litre|litres|kilogram|kilograms|kilometer|kilometers|kilometre|kilometres|pound|pounds|ounce|ounces|inch|inches|foot|feet|yard|yards"
 )
-#: (pattern, replacement in a template, replacement that marks the slot's value).
-NAMES = (r"\p{Lu}(?<![\p{L}\p{M}\p{N}].)\p{Ll}+(?: \p{Lu}\p{Ll}+)*(?![\p{L}\p{M}\p{N}])", f" {NAME} ", "\u0001$0\u0003")
-NAMES_INSIDE = (r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*(?![\p{L}\p{M}\p{N}])", f" {NAME} ", "\u0001$0\u0003")
+#: (pattern, replacement in a template, replacement that marks the slot's value). Repeated groups are possessive: others
+#: cost Java's matcher stack for each round, and a long run of names or numbers ends the executor. A run of digits, points
+#: and commas is entered at its start only, not at each digit.
+NAMES = (r"\p{Lu}(?<![\p{L}\p{M}\p{N}].)\p{Ll}++(?![\p{L}\p{M}\p{N}])(?: \p{Lu}\p{Ll}++(?![\p{L}\p{M}\p{N}]))*+", f" {NAME} ", "\u0001$0\u0003")
+NAMES_INSIDE = (r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}++(?![\p{L}\p{M}\p{N}])(?: \p{Lu}\p{Ll}++(?![\p{L}\p{M}\p{N}]))*+", f" {NAME} ", "\u0001$0\u0003")
 NUMBERS = (
-    (rf"(\p{{Nd}}[\p{{Nd}}.,]*)( ?)((?i:{UNITS})\b|%)", f" {NUMBER} {UNIT} ", "\u0002$1\u0003 \u0002=$3\u0003"),
-    (r"(^|[^\p{Nd}\x{2}.,])(\p{Nd}+([.,]\p{Nd}+)*)", f"$1 {NUMBER} ", "$1\u0002$2\u0003"),
+    (rf"(?=[\p{{Nd}}.,])(?<![\p{{Nd}}.,])([.,]*+)(\p{{Nd}}[\p{{Nd}}.,]*+) ?((?i:{UNITS})\b|%)", f"$1 {NUMBER} {UNIT} ", "$1\u0002$2\u0003 \u0002=$3\u0003"),
+    (r"(^|[^\p{Nd}\x{2}.,])(\p{Nd}++(?:[.,]\p{Nd}++)*+)", f"$1 {NUMBER} ", "$1\u0002$2\u0003"),
 )
 #: Rules in order: of documents, and the other ones of items.
 RULES = (NAMES, *NUMBERS)

@@ -454,6 +454,15 @@ def test_contamination_like_every_alignment(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    plain = "seven wizards mix ink while the brown fox jumps over the lazy dog"
+    named = "so {} went home early that day with two old friends of theirs"
+    items = spark.createDataFrame([(1, plain), (2, named.format("Anna Maria " * 3000))], "item_id long, text string")
+    texts = [x + plain for x in ("Tom Karl " * 20000, "1," * 50000, "1" * 100000 + " ", "1..2,," * 20000, "." * 100000 + "5 km ", "X" + "a" * 100000 + "1 ")]
+    d = spark.createDataFrame(list(enumerate([*texts, named.format("Tom Karl " * 20000)])), "doc_id long, text string")
+    assert sorted(rows(decontam.contaminated(d, items).select("doc_id", "item_id"))) == [*((i, 1) for i in range(len(texts))), (len(texts), 2)]
+
+
 # ---- op5
 
 
