@@ -72,12 +72,13 @@ class Cache:
 
 
 class CachedTokenizer:
-    def __init__(self, path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES, group_bytes: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype, self.cache, self.plain_words = np.dtype(dtype), Cache(entries // 4), Cache(entries)
+        self.most_bytes = group_bytes
         self.letters, self.code = byte_letters(), {2: "H", 4: "I"}[self.dtype.itemsize]
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -149,22 +150,22 @@ class CachedTokenizer:
     # ---- ids of texts
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, null being empty, in order; memory is bounded by GROUP_BYTES and one text's ids."""
+        """The ids of each text, null being empty, in order; memory is bounded by the group's bytes and one text's ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return
-        size = pc.binary_length(texts).to_numpy()
+        size, most = pc.binary_length(texts).to_numpy(), self.most_bytes or GROUP_BYTES
         odd = np.zeros(len(texts), bool)
         for s in self.specials:
             odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        alone = odd | (size > GROUP_BYTES)
-        group = np.cumsum(size) // GROUP_BYTES
+        alone = odd | (size > most)
+        group = np.cumsum(size) // most
         starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | alone[1:] | alone[:-1]]))
         for lo, hi in zip(starts, [*starts[1:], len(texts)], strict=True):
             if odd[lo]:
                 yield np.array(self.tok.encode(texts[int(lo)].as_py(), add_special_tokens=False).ids, self.dtype)
             elif alone[lo]:
-                yield np.concatenate([x for part in stretches(texts[int(lo)].as_py()) for x in self.group(pa.array([part], pa.large_string()))])
+                yield np.concatenate([x for part in stretches(texts[int(lo)].as_py(), most) for x in self.group(pa.array([part], pa.large_string()))])
             else:
                 yield from self.group(texts.slice(lo, hi - lo))
 
@@ -240,16 +241,16 @@ def gathered(flat: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(begin - (end - n), n) + np.arange(end[-1] if len(end) else 0)], n
 
 
-def stretches(text: str) -> Iterator[str]:
+def stretches(text: str, group_bytes: int) -> Iterator[str]:
     """A long text in stretches that are cut where any part may be."""
     lo = 0
     while lo < len(text):
-        cut = _CUT.search(text, lo + GROUP_BYTES // 2)
+        cut = _CUT.search(text, lo + group_bytes // 2)
         hi = cut.start() if cut else len(text)
         yield text[lo:hi]
         lo = hi
 
 
-def tokenizer(path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES) -> CachedTokenizer:
+def tokenizer(path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES, group_bytes: int | None = None) -> CachedTokenizer:
     """One for each worker process; it stays from task to task."""
-    return kept(("tokenizer", path, dtype, entries), lambda: CachedTokenizer(path, dtype, entries))
+    return kept(("tokenizer", path, dtype, entries, group_bytes), lambda: CachedTokenizer(path, dtype, entries, group_bytes))

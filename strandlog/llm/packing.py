@@ -24,12 +24,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandlog.llm.bpe import tokenizer
-from strandlog.llm.shared import arrow, batch, written
+from strandlog.llm.shared import arrow, batch, local_table, written
 
 SIZE = 2048
 END_ID = 0
 #: Pieces of one length are ranked in parts of about so many, however many there are.
 PART_ROWS = 1 << 20
+#: Texts are encoded in groups of about so many bytes: a group's arrays are some 60 times its size, in each worker.
+GROUP_BYTES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -38,7 +40,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, key
     """One row per piece of at most `size` ids: its place in the document, its length and the checksum of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_path), np.array([END_ID], "<u4")
+        tok, end = tokenizer(tokenizer_path, group_bytes=GROUP_BYTES), np.array([END_ID], "<u4")
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(tok.encode(b.column(1))):
@@ -48,7 +50,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, key
                     row.append(i), piece.append(p), start.append(at), length.append(len(own)), crc.append(zlib.crc32(own))
             yield batch(_PIECES, b.column(0).take(pa.array(row, pa.int64())), piece, start, length, crc)
 
-    return arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), cut, PIECES, keeps=True)
+    return arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), cut, PIECES, keeps=True, trims=True)
 
 
 def fill(free: np.ndarray, gap: int) -> tuple[int, ...]:
@@ -132,7 +134,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     full = pieces.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < size)
     of_length = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # under `size` rows
-    n_parts = spark.createDataFrame([(x, -(-n // PART_ROWS)) for x, n in of_length.items()], "length long, n_parts long")
+    n_parts = local_table(spark, pa.table({"length": pa.array(of_length.keys(), pa.int64()), "n_parts": pa.array([-(-n // PART_ROWS) for n in of_length.values()], pa.int64())}))
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("n_parts")).cast("int")
     parted = rest.join(F.broadcast(n_parts), "length").select(*pieces.columns, part.alias("__part"))
     before: dict[int, np.ndarray] = {x: np.zeros(-(-n // PART_ROWS), np.int64) for x, n in of_length.items()}

@@ -31,16 +31,19 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 BATCH_BYTES = 2 << 20
 
 
-def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, keeps: bool = False) -> DataFrame:
+def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, keeps: bool = False, trims: bool = False) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of BATCH_BYTES at most (unless the session has a limit of its own). In the
     worker, what other operators kept goes first (all of it unless run keeps something itself), and freed memory goes back
-    to the system at the end."""
+    to the system at the end; with trims after every batch, for operators whose arrays are many times a batch."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
             _kept.clear()
         try:
-            yield from run(batches)
+            for out in run(batches):
+                yield out
+                if trims:
+                    give_back()
         finally:
             give_back()
 
@@ -71,6 +74,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, data: pa.Table) -> DataFrame:
+    """A small table of the driver's as a local relation: one made of a list of rows is an RDD that goes through Python, for
+    which each executor starts another daemon, with workers of its own, that stays as long as the executor does."""
+    return spark.createDataFrame(data)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and
     driver and executors are one process."""

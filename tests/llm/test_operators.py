@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import random
+import types
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from brute import base_counts, components, holds, shingles
 
-from strandlog.llm import bpe, chat, decontam, licenses, lmscore, neardup, packing, quality, queries, records, sharding, viterbi
+from strandlog.llm import bpe, chat, decontam, licenses, lmscore, neardup, packing, quality, queries, records, sharding, shared, viterbi
 from strandlog.llm.bpe import CachedTokenizer
 from strandlog.llm.shared import table
 
@@ -235,6 +236,28 @@ def test_packing(docs, corpus, empty, monkeypatch):
     assert packing.pack_documents(empty, path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_without_python_rows(spark, docs):
+    # a table of a list of rows would start a second Python daemon on each executor
+    packed = packing.pack_documents(docs, path("word_bpe_49k.json"))
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+
+
+def test_packing_gives_memory_back(spark, corpus, monkeypatch):
+    # small groups of its own, the same ids, and freed memory goes back after each batch
+    texts = [t for _, t in corpus if t]
+    tok, seen = CachedTokenizer(path("word_bpe_49k.json"), group_bytes=300), []
+    group = tok.group
+    monkeypatch.setattr(tok, "group", lambda some: seen.append(some.nbytes) or group(some))
+    assert [x.tolist() for x in tok.encode(pa.array(texts))] == plain_ids("word_bpe_49k.json", texts) and len(seen) > 20
+    runs = []
+    frame = types.SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, schema: runs.append(run))
+    for trims, n in ((True, 4), (False, 1)):
+        given = []
+        shared.arrow(frame, lambda batches: iter(batches), "x long", trims=trims)
+        monkeypatch.setattr(shared, "give_back", lambda: given.append(1))
+        assert list(runs.pop()([1, 2, 3])) == [1, 2, 3] and len(given) == n
+
+
 def test_plans_use_each_piece_once():
     rng = np.random.default_rng(4)
     for n in (0, 1, 7, 400, 5000):
