@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +62,10 @@ def entity_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(space.alias("space"), order(n).alias("ord"), op_type.cast("tinyint").alias("op_type"), named("user:", F.col("user_id")).alias("id"), sets.cast(SET).alias("set"), unsets.cast(UNSET).alias("unset"), F.lit(None).cast(M.RELATION).alias("relation"), F.lit(0).alias("unset_fields"), F.lit(None).cast("struct<entity: binary, property: binary, language: binary, space: binary>").alias("value_ref"))
 
 
-def _frame(df: DataFrame, op_type: int, block, op_index, ident, relation=None, unset_fields=None, value_ref=None) -> DataFrame:
+def _frame(df: DataFrame, op_type: int, block, op_index, ident, relation=None, unset_fields=None, value_ref=None, tx=0, log=0) -> DataFrame:
     none = F.lit(None)
     return df.select(
-        F.lit("main").alias("space"), order(block, op_index).alias("ord"), F.lit(op_type).cast("tinyint").alias("op_type"), ident.alias("id"), none.cast(SET).alias("set"), none.cast(UNSET).alias("unset"),
+        F.lit("main").alias("space"), order(block, op_index, tx, log).alias("ord"), F.lit(op_type).cast("tinyint").alias("op_type"), ident.alias("id"), none.cast(SET).alias("set"), none.cast(UNSET).alias("unset"),
         (none if relation is None else relation).cast(M.RELATION).alias("relation"), (F.lit(0) if unset_fields is None else unset_fields).alias("unset_fields"),
         (none if value_ref is None else value_ref).cast("struct<entity: binary, property: binary, language: binary, space: binary>").alias("value_ref"),
     )
@@ -90,9 +92,14 @@ def relation_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_ref_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as value refs. Lines can share an order and a number; then the one that stands first in the files is the
+    latest, as DuckDB's arg_max takes it, so that no two ops have the same position."""
     x = read(spark, sf_dir, "lineitem")
+    files = sorted(re.sub(r"^(\w+):/+", r"\1:/", f) for f in x.inputFiles())  # file:///a here is file:/a in _metadata
+    x = x.select("*", F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/").alias("file"), F.col("_metadata.row_index").alias("row"))
     slot = F.struct(named("supplier:", F.col("l_suppkey")).alias("entity"), named("property:", F.col("l_returnflag")).alias("property"), F.when(F.col("l_linestatus") == "O", language_id(F.lit("de"))).alias("language"), F.lit(None).cast("binary").alias("space"))
-    return _frame(x, M.CREATE_VALUE_REF, F.col("l_orderkey"), F.col("l_linenumber"), named("ref:", F.col("l_partkey") % 50), value_ref=slot)
+    file = -F.array_position(F.lit(files), F.col("file")).cast("int") if len(files) > 1 else 0
+    return _frame(x, M.CREATE_VALUE_REF, F.col("l_orderkey"), -F.col("row"), named("ref:", F.col("l_partkey") % 50), value_ref=slot, tx=F.col("l_linenumber").cast("int"), log=file)
 
 
 def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,3 +275,21 @@ def test_paths_longer_than_the_steps_are_an_error(spark):
     assert views.reachable(edges, start, written).count() == 7
     with pytest.raises(RuntimeError):
         views.reachable(edges, start, written, most_steps=3)
+
+
+def test_value_refs_at_one_position_as_sql_takes_them(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    lines = [(n // 2, n % 40, n % 7 // 6, 1, "A", "F") for n in range(2000)]
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+    for parts in (1, 3):
+        where = tmp_path / f"{parts}" / "lineitem.parquet"
+        where.mkdir(parents=True)
+        for i in range(parts):
+            pq.write_table(pa.table(dict(zip(names, zip(*lines[i::parts], strict=True), strict=True))), where / f"part-{i}.parquet")
+        con = duckdb.connect()
+        con.execute(f"SET threads=1; CREATE VIEW lineitem AS SELECT * FROM read_parquet('{where}/*.parquet')")
+        for name in ("value_ref_slot_lww", "value_ref_reverse"):
+            assert oracle.difference(spark, con, Q.QUERIES[name], Q.ORACLE_SQL[name], str(where.parent)) is None
