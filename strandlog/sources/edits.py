@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,39 +14,45 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from strandlog import model as M
+from strandlog.plans.shared import small_batches
 from strandlog.sources import wire
 
-#: Rows of decoded ops that a task holds at once.
-BLOCK = 4096
+#: Rows that a task gives out at once, and bytes of edits.
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 
 
 def _schema(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of Arrow batches, one at a time in Python."""
+    for b in batches:
+        for cells in zip(*b.columns, strict=True):
+            yield tuple(c.as_py() for c in cells)
+
+
 def decode_ops(blobs: DataFrame, content: str = "content", key: str = "path", permissive: bool = False) -> DataFrame:
     """One row per op of the edits in a binary column: key, edit_id and the op's columns. permissive: edits that can't be
     read give one row with `error` instead of failing the query."""
     schema = _schema(f"path string, edit_id binary, {M.OP}, error string")
     arrow = to_arrow_schema(schema)
 
+    def ops(path: str, data: bytes) -> Iterator[dict]:
+        try:
+            edit = wire.decode(data)
+        except wire.WireError as e:
+            if not permissive:
+                raise
+            return iter([{"path": path, "error": e.code}])
+        return ({"path": path, "edit_id": edit["edit_id"], **op} for op in edit["ops"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[dict] = []
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    edit = wire.decode(data)
-                    rows += [{"path": k, "edit_id": edit["edit_id"], **op} for op in edit["ops"]]
-                except wire.WireError as e:
-                    if not permissive:
-                        raise
-                    rows.append({"path": k, "error": e.code})
-                while len(rows) >= BLOCK:
-                    yield pa.RecordBatch.from_pylist(rows[:BLOCK], arrow)
-                    rows = rows[BLOCK:]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+        rows = (row for path, data in _cells(batches) for row in ops(path, data))
+        while block := list(islice(rows, BLOCK)):
+            yield pa.RecordBatch.from_pylist(block, arrow)
 
+    small_batches(blobs.sparkSession)
     return blobs.select(F.col(key).alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
@@ -54,10 +61,11 @@ def decode_headers(blobs: DataFrame, content: str = "content", key: str = "path"
     schema = _schema(f"path string, {M.EDIT}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [{"path": k, **wire.decode(data, with_ops=False)} for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+        rows = ({"path": path, **wire.decode(data, with_ops=False)} for path, data in _cells(batches))
+        while block := list(islice(rows, BLOCK)):
+            yield pa.RecordBatch.from_pylist(block, to_arrow_schema(schema))
 
+    small_batches(blobs.sparkSession)
     return blobs.select(F.col(key).alias("path"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
@@ -71,14 +79,23 @@ def encode_edits(edits: DataFrame, canonical: bool = True, compress: bool | str
     compress: False, True, or "auto" for edits of `threshold` bytes and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = {"canonical": canonical} | ({"level": level} if compress is True else {"threshold": threshold} if compress else {})
+        pack = wire.encode_zstd if compress is True else wire.encode_auto if compress else wire.encode
+        ids, blobs, size = [], [], 0
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                r["ops"].sort(key=lambda o: o["op_index"])
-            how = {"canonical": canonical} | ({"level": level} if compress is True else {"threshold": threshold} if compress else {})
-            pack = wire.encode_zstd if compress is True else wire.encode_auto if compress else wire.encode
-            yield pa.RecordBatch.from_arrays([pa.array([r["edit_id"] for r in rows], pa.binary()), pa.array([pack(r, **how) for r in rows], pa.binary())], names=["edit_id", "content"])
-
+            for i in range(b.num_rows):  # one edit at a time: its ops take up to a hundred times their bytes as Python objects
+                (edit,) = b.slice(i, 1).to_pylist()
+                edit["ops"].sort(key=lambda o: o["op_index"])
+                ids.append(edit["edit_id"])
+                blobs.append(pack(edit, **how))
+                size += len(blobs[-1])
+                if size >= BLOCK_BYTES or len(ids) >= BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], names=["edit_id", "content"])
+                    ids, blobs, size = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], names=["edit_id", "content"])
+
+    small_batches(edits.sparkSession)
     return edits.mapInArrow(run, "edit_id binary, content binary")
 
 

@@ -293,3 +293,44 @@ def test_value_refs_at_one_position_as_sql_takes_them(spark, tmp_path):
         con.execute(f"SET threads=1; CREATE VIEW lineitem AS SELECT * FROM read_parquet('{where}/*.parquet')")
         for name in ("value_ref_slot_lww", "value_ref_reverse"):
             assert oracle.difference(spark, con, Q.QUERIES[name], Q.ORACLE_SQL[name], str(where.parent)) is None
+
+
+class Frame:
+    """Stands for a DataFrame: gives back the function that Spark would run over its batches."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _schema):  # noqa: N802
+        return run
+
+
+def peak(f):
+    import tracemalloc
+
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most, out
+
+
+@pytest.mark.parametrize("step", ["encode", "auto", "headers", "decode"])
+def test_codec_memory_does_not_grow_with_the_edits_of_a_batch(spark, step):
+    import pyarrow as pa
+
+    edit = lambda i, n: {"edit_id": i.to_bytes(16, "big"), "name": "n" * 200, "authors": [], "created_at": 0, "n_ops": n, "ops": [{"op_index": j, "op_type": 1, "id": j.to_bytes(16, "big"), "set": [{"property": k(7), "value": {"data_type": 2, "i64": j, "unit": None}}]} for j in range(n)]}
+    run = {"encode": lambda: edits.encode_edits(Frame(spark)), "auto": lambda: edits.encode_edits(Frame(spark), compress="auto"), "headers": lambda: edits.decode_headers(Frame(spark)), "decode": lambda: edits.decode_ops(Frame(spark))}[step]()
+    sizes = {"headers": (2_000, 16_000)}.get(step, (10, 80))
+    most = []
+    for n in sizes:
+        rows = [edit(i, 200 if step != "headers" else 1) for i in range(n)]
+        batch = pa.RecordBatch.from_pylist(rows) if step in ("encode", "auto") else pa.RecordBatch.from_pydict({"path": [""] * n, "content": [wire.encode(r) for r in rows]})
+        del rows
+        used, count = peak(lambda: sum(b.num_rows for b in run(iter([batch]))))  # noqa: B023
+        assert count == (n * 200 if step == "decode" else n)
+        most.append(used)
+    assert most[1] < 1.5 * most[0] + 1e6
