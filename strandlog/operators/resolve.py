@@ -80,12 +80,13 @@ def _target(op_type):
 def accepted(ops: DataFrame, owners: DataFrame) -> DataFrame:
     """The ops that take effect: on an id of their kind, from its creation on, and not while it is deleted."""
     own = ops.join(owners, KEY).where((_target(F.col("op_type")) == F.col("kind")) & (F.col("ord") >= F.col("created")))
+    refs, own = own.where(F.col("op_type") == M.CREATE_VALUE_REF), own.where(F.col("op_type") != M.CREATE_VALUE_REF)  # a ref isn't deleted, so its history needs no order
     switch = F.when(F.col("op_type").isin(M.DELETE_ENTITY, M.DELETE_RELATION), "D").when(F.col("op_type").isin(M.RESTORE_ENTITY, M.RESTORE_RELATION), "A")
     before = F.last(switch, ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     own = own.withColumn("before", F.coalesce(before, F.lit("A")))
     restores = F.col("op_type").isin(M.RESTORE_ENTITY, M.RESTORE_RELATION)
     late_create = (F.col("op_type").isin(M.CREATE_RELATION)) & (F.col("ord") > F.col("created"))
-    return own.where(F.when(restores, F.col("before") == "D").otherwise((F.col("before") == "A") & ~late_create)).drop("before")
+    return own.where(F.when(restores, F.col("before") == "D").otherwise((F.col("before") == "A") & ~late_create)).drop("before").unionByName(refs)
 
 
 def status(owners: DataFrame, taken: DataFrame) -> DataFrame:

@@ -334,3 +334,13 @@ def test_codec_memory_does_not_grow_with_the_edits_of_a_batch(spark, step):
         assert count == (n * 200 if step == "decode" else n)
         most.append(used)
     assert most[1] < 1.5 * most[0] + 1e6
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_value_refs_are_accepted_without_ordering_their_history(spark, sf):
+    ops = oplog.value_ref_ops(spark, sf)
+    taken = R.accepted(ops, R.State(ops).owners)
+    assert "Window" not in plan(taken) and taken.count() == ops.count()
