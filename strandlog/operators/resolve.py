@@ -149,7 +149,7 @@ def edit_ends(ops: DataFrame) -> DataFrame:
     return ops.where("edit_id IS NOT NULL").groupBy("edit_id").agg(F.max("ord").alias("upto"))
 
 
-def resolve_endpoints(state: State, relations: DataFrame, edits: DataFrame) -> DataFrame:
+def resolve_endpoints(state: State, relations: DataFrame, edits: DataFrame, with_values: bool = True) -> DataFrame:
     """What the ends of relations stand for: two rows a relation, (space, id, end, target, at_space, status, entity,
     property, language, value).
 
@@ -157,7 +157,7 @@ def resolve_endpoints(state: State, relations: DataFrame, edits: DataFrame) -> D
     up to where the log counts, the pinned edit included; of an unknown edit the status is UNKNOWN_VERSION. A value ref's
     binding to a slot is the current one of that space; the slot's own space says where the value is read, and the
     version pin as of when. Status is that of the entity (the slot's, for a value ref); a value shows only while it is
-    ACTIVE."""
+    ACTIVE, and is null without with_values."""
     space = relations.schema["space"].dataType
 
     def end(name: str):
@@ -170,23 +170,36 @@ def resolve_endpoints(state: State, relations: DataFrame, edits: DataFrame) -> D
     ends = ends.join(refs, ["at_space", "target", "is_ref"], "left")
     where = {"of_space": F.when(F.col("is_ref"), F.col("slot_space")).otherwise(F.col("at_space")), "of_id": F.when(F.col("is_ref"), F.col("entity")).otherwise(F.col("target"))}
     ends = written(ends.withColumns(where))
-    row = [*KEY, "end"]
-    until = lambda c: F.col("upto").isNull() | (F.col(c) <= F.col("upto"))
-    ids = ends.select(*row, F.col("of_space").alias("s"), F.col("of_id").alias("i"), "upto")
-    known = state.objects.select(F.col("space").alias("s"), F.col("id").alias("i"), "created")
-    switches = state.accepted.where(F.col("op_type").isin(M.DELETE_ENTITY, M.RESTORE_ENTITY, M.DELETE_RELATION, M.RESTORE_RELATION)).select(F.col("space").alias("s"), F.col("id").alias("i"), "op_type", "ord")
-    there = ids.join(known, ["s", "i"]).where(until("created")).select(*row)
-    last = ids.join(switches, ["s", "i"]).where(until("ord")).groupBy(*row).agg(F.max_by("op_type", "ord").alias("last"))
-    events = slot_events(state.accepted).select(F.col("space").alias("s"), F.col("id").alias("i"), "property", F.col("language").alias("l"), "mode", "ord", "seq", "idx", F.col("value").alias("v"))
-    slots = ends.where("is_ref").select(*row, F.col("of_space").alias("s"), F.col("of_id").alias("i"), "property", "language", "upto")
-    mine = F.col("l").eqNullSafe(F.col("language")) & ~F.coalesce(F.col("mode") == M.UNSET_ALL, F.lit(False)) | (F.col("mode") == M.UNSET_ALL)
-    value = slots.join(events, ["s", "i", "property"]).where(until("ord") & mine).groupBy(*row).agg(F.max_by(F.struct("seq", "v"), F.struct("ord", "seq", "idx")).alias("x"))
-    out = ends.join(there.withColumn("there", F.lit(True)), row, "left").join(last, row, "left").join(value, row, "left")
+    row, at = [*KEY, "end"], {"s": F.col("of_space"), "i": F.col("of_id")}
+    ends = ends.withColumns(at)
+    none = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    running = lambda *by: Window.partitionBy(*by).orderBy(F.col("upto").isNotNull().desc(), "upto", "ask", "seq", "idx").rowsBetween(Window.unboundedPreceding, 0)
+    # Each different question is put among the ops of its object, in the order of the log, and takes what the ops before it say.
+    known = state.objects.select(F.col("space").alias("s"), F.col("id").alias("i"), F.col("created").alias("upto"), F.lit(True).alias("there"), none(state.accepted, "op_type"))
+    switches = state.accepted.where(F.col("op_type").isin(M.DELETE_ENTITY, M.RESTORE_ENTITY, M.DELETE_RELATION, M.RESTORE_RELATION)).select(F.col("space").alias("s"), F.col("id").alias("i"), F.col("ord").alias("upto"), F.lit(None).cast("boolean").alias("there"), "op_type")
+    what = known.unionByName(switches).withColumn("ask", F.lit(0))
+    asked = ends.select("s", "i", "upto").distinct().select("s", "i", "upto", F.lit(None).cast("boolean").alias("there"), none(state.accepted, "op_type"), F.lit(1).alias("ask"))
+    lived = what.unionByName(asked).withColumns({"seq": F.lit(0), "idx": F.lit(0)})
+    lived = lived.withColumns({"there": F.max("there").over(running("s", "i")), "last": F.last("op_type", ignorenulls=True).over(running("s", "i"))}).where("ask = 1").select("s", "i", "upto", "there", "last")
+    joined = lambda a, b, cols: a.alias("a").join(b.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols], "left").select("a.*", *(f"b.{c}" for c in b.columns if c not in cols))
+    out = joined(ends, lived, ["s", "i", "upto"])
+    if with_values:
+        slot = ["s", "i", "property", "language"]
+        events = slot_events(state.accepted).select(F.col("space").alias("s"), F.col("id").alias("i"), "property", "language", F.col("ord").alias("upto"), "seq", "idx", "mode", F.col("value").alias("v"), F.lit(0).alias("ask"))
+        asked = ends.where("is_ref").select(*slot, "upto").distinct().select(*slot, "upto", F.lit(0).alias("seq"), F.lit(0).alias("idx"), none(events, "mode"), none(events, "v"), F.lit(1).alias("ask"))
+        place, clears = F.struct("upto", "seq", "idx"), F.coalesce(F.col("mode") == M.UNSET_ALL, F.lit(False))
+        said = events.unionByName(asked)
+        said = said.withColumn("cleared", F.last(F.when(clears, place), ignorenulls=True).over(running("s", "i", "property")))
+        said = said.withColumn("own", F.last(F.when(~clears & (F.col("ask") == 0), F.struct(place.alias("place"), "seq", "v")), ignorenulls=True).over(running(*slot))).where("ask = 1")
+        shown = F.when((F.col("own.seq") == 1) & (F.col("cleared").isNull() | (F.col("own.place") > F.col("cleared"))), F.struct(F.col("own.v").alias("v")))
+        out = joined(out, said.select(*slot, "upto", shown.alias("x")), [*slot, "upto"])
+    else:
+        out = out.withColumn("x", F.struct(F.lit(None).cast(slot_events(state.accepted).schema["value"].dataType).alias("v")))
     status = (
         F.when(F.col("version").isNotNull() & F.col("upto").isNull(), "UNKNOWN_VERSION").when(F.col("there").isNull(), "NOT_FOUND")
         .when(F.col("last").isin(M.DELETE_ENTITY, M.DELETE_RELATION), "DELETED").otherwise("ACTIVE")
     )
-    out = out.withColumn("status", status).withColumn("value", F.when((F.col("status") == "ACTIVE") & (F.col("x.seq") == 1), F.col("x.v")))
+    out = out.withColumn("status", status).withColumn("value", F.when(F.col("status") == "ACTIVE", F.col("x.v")))
     return out.select(*row, "target", "is_ref", "at_space", "version", "status", "entity", "property", "language", "value")
 
 

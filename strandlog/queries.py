@@ -374,20 +374,20 @@ res AS (SELECT a.*, CASE WHEN unknown THEN 'UNKNOWN_VERSION' WHEN o.id IS NULL O
   FROM att a LEFT JOIN own o ON o.space=a.sp AND o.id=a.ob LEFT JOIN sw ON sw.id=a.id AND sw."end"=a."end" LEFT JOIN vl ON vl.id=a.id AND vl."end"=a."end")"""
 
 
-def _endpoints(spark, d):
+def _endpoints(spark, d, **how):
     log, edits = L.pinned_log(spark, d)
     state = R.State(log)
-    return R.resolve_endpoints(state, state.relations.where(F.col("type") == L.named("relation:pins")), R.edit_ends(edits))
+    return R.resolve_endpoints(state, state.relations.where(F.col("type") == L.named("relation:pins")), R.edit_ends(edits), **how)
 
 
 @query(f"""WITH {_PINS} SELECT id, "end", target, {sid("'edit:'||ver")} AS version, status FROM res WHERE ver IS NOT NULL AND NOT is_ref""")
 def version_pin(spark, d):
-    return hexed(_endpoints(spark, d).where("version IS NOT NULL AND NOT is_ref").select("id", "end", "target", "version", "status"), "id", "target", "version")
+    return hexed(_endpoints(spark, d, with_values=False).where("version IS NOT NULL AND NOT is_ref").select("id", "end", "target", "version", "status"), "id", "target", "version")
 
 
 @query(f"""WITH {_PINS} SELECT id, "end", target, at_space, status FROM res WHERE at_space<>space AND ver IS NULL AND NOT is_ref""")
 def space_pin_lookup(spark, d):
-    return hexed(_endpoints(spark, d).where("at_space != space AND version IS NULL AND NOT is_ref").select("id", "end", "target", "at_space", "status"), "id", "target")
+    return hexed(_endpoints(spark, d, with_values=False).where("at_space != space AND version IS NULL AND NOT is_ref").select("id", "end", "target", "at_space", "status"), "id", "target")
 
 
 @query(f"""WITH {_PINS} SELECT id, at_space, target, entity, property, language, status, CASE WHEN status='ACTIVE' THEN val END AS val FROM res WHERE is_ref""")

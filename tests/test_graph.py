@@ -344,3 +344,9 @@ def test_value_refs_are_accepted_without_ordering_their_history(spark, sf):
     ops = oplog.value_ref_ops(spark, sf)
     taken = R.accepted(ops, R.State(ops).owners)
     assert "Window" not in plan(taken) and taken.count() == ops.count()
+
+
+def test_ends_do_not_meet_every_op_of_their_object(spark, sf):
+    """Questions go among the ops of an object in their order; a join with them would grow with relations times ops."""
+    got = plan(Q._endpoints(spark, sf))
+    assert got.count("Window") >= 3 and not any("Join Inner" in line for line in got.splitlines() if "upto" in line)
